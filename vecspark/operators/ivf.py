@@ -61,6 +61,11 @@ def check_lists(lists: int, metric: str, dim: int) -> None:
         )
 
 
+def largest_norm(base: DataFrame) -> float:
+    squared = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return math.sqrt(base.agg(F.max(squared)).first()[0])
+
+
 def train_centroids(
     base: DataFrame, rows: int, lists: int, metric: str, max_norm: float, seed: int, max_iter: int
 ) -> np.ndarray:
@@ -133,10 +138,7 @@ def ivf_build(
     check_lists(lists, metric, size.dim)
     max_norm = 0.0
     if metric == "ip":
-        squared = F.aggregate(
-            "v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
-        )
-        max_norm = math.sqrt(base.agg(F.max(squared)).first()[0])
+        max_norm = largest_norm(base)
     found = train_centroids(base, size.rows, lists, metric, max_norm, seed, max_iter)
     centroids = (np.arange(len(found), dtype=np.int32), found)
     index = IvfIndex(name, metric, size.dim, len(found), max_norm)
@@ -238,18 +240,29 @@ def _scan_lists(index: IvfIndex, postings: DataFrame, probed: DataFrame, k: int)
 def _join_lists(
     index: IvfIndex, postings: DataFrame, probed: DataFrame, size: knn.VectorStats, k: int, chunk_bytes: int
 ) -> DataFrame:
-    """Shuffle both sides by list. A list too large for one task, on either side, is cut into chunks."""
     room = max(1, chunk_bytes // (index.dim * 8))
     probes = probed.select("qid", "qv", F.explode("cells").alias("list"))
+    return join_lists(postings, probes, room, k, index.metric, few_lists=True)
+
+
+def join_lists(
+    postings: DataFrame, probes: DataFrame, room: int, k: int, metric: str, few_lists: bool = False
+) -> DataFrame:
+    """Partial top-k of ``(list, id, v)`` against ``(list, qid, qv)``, both shuffled by list.
+
+    A list with more than ``room`` rows on either side is cut into chunks of
+    about that size, and each chunk of one side meets each chunk of the other.
+    """
     cuts = (
         postings.groupBy("list").agg(F.ceil(F.count("*") / room).alias("nb"))
         .join(probes.groupBy("list").agg(F.ceil(F.count("*") / room).alias("nq")), "list")
     )
-    cuts = F.broadcast(cuts)  # one row per list, whose number was checked when built
+    if few_lists:  # one row per centroid, whose number was checked when built
+        cuts = F.broadcast(cuts)
     left = postings.select("list", "id", "v").join(cuts, "list").select(
         "list", "id", "v", F.pmod(F.xxhash64("id", "v"), "nb").alias("b"), knn.replicas(F.col("nq")).alias("q")
     )
-    right = probes.join(cuts, "list").select(
+    right = probes.select("list", "qid", "qv").join(cuts, "list").select(
         "list", "qid", "qv", F.pmod(F.xxhash64("qid"), "nq").alias("q"), knn.replicas(F.col("nb")).alias("b")
     )
-    return knn.cogrouped_topk(left, right, ["list", "b", "q"], k, index.metric)
+    return knn.cogrouped_topk(left, right, ["list", "b", "q"], k, metric)
