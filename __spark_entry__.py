@@ -11,6 +11,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -99,7 +100,7 @@ def _write_records(rows: DataFrame, key: str, values: str, stored: str, files: i
 
         from vecspark.functions.kernels import as_matrix
 
-        system, path = fs.FileSystem.from_uri(folder if "://" in folder or ":/" in folder else f"file://{folder}")
+        system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{path}/{part:05d}"
@@ -373,7 +374,7 @@ def _graph(spark, sf_dir, metric="l2"):
 
 
 def _halves(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return base.where("id % 2 = 0"), base.where("id % 2 = 1")
+    return base.where("label < 5"), base.where("label >= 5")
 
 
 def e1_ivf_build(spark, sf_dir):
@@ -395,23 +396,18 @@ def _ivf_query(metric: str, predicate: str | None = None, **limits):
 
 
 def e3_graph_build(spark, sf_dir):
-    """Nodes, and counts of what must not be: all zero but the first."""
+    """Node count, and counts of what must not be."""
     index = _graph(spark, sf_dir)
     nodes, edges = spark.table(index.table("nodes")), spark.table(index.table("edges"))
-    degrees = edges.where("not link").groupBy("src").count().agg(F.max("count").alias("degree"))
-    facts = nodes.agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("ids"))
-    loops = edges.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_edges"))
-    lost = graph.unreached(index, spark).agg(F.count("*").alias("unreached"))
-    return write_step(
-        facts.join(F.broadcast(degrees), how="cross")
-        .join(F.broadcast(loops), how="cross")
-        .join(F.broadcast(lost), how="cross")
-        .select(
-            "nodes", (F.col("nodes") - F.col("ids")).alias("repeated"),
-            (F.col("degree") > 2 * index.m).alias("over_degree"), "self_edges", "unreached",
-        ),
-        "facts",
-    )
+    degrees = edges.where("not link").groupBy("src").agg(F.count("*").alias("degree"))
+    facts = {
+        "nodes": nodes.agg(F.count("*").alias("value")),
+        "repeated nodes": nodes.agg((F.count("*") - F.count_distinct("id")).alias("value")),
+        "self edges": edges.agg(F.count_if(F.col("src") == F.col("dst")).alias("value")),
+        "nodes over the degree bound": degrees.agg(F.count_if(F.col("degree") > 2 * index.m).alias("value")),
+        "unreached nodes": graph.unreached(index, spark).agg(F.count("*").alias("value")),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("fact"), "value") for n, df in facts.items()])
 
 
 def _graph_query(metric: str, predicate: str | None = None):
@@ -773,8 +769,9 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "e1_ivf_build": "SELECT vec_id AS id, 1::BIGINT AS copies, len(embedding)::INTEGER AS dim, true AS listed FROM embeddings",
         "e2_ivf_search_all_probes": exact_l2,
         "e2_ivf_search_shuffled": exact_l2,
-        "e3_graph_build": "SELECT count(*) AS nodes, 0::BIGINT AS repeated, false AS over_degree, 0::BIGINT AS self_edges, "
-        "0::BIGINT AS unreached FROM embeddings",
+        "e3_graph_build": "SELECT 'nodes' AS fact, count(*) AS value FROM embeddings UNION ALL "
+        "SELECT 'repeated nodes', count(*) - count(DISTINCT vec_id) FROM embeddings UNION ALL "
+        "SELECT f, 0::BIGINT FROM (VALUES ('self edges'), ('nodes over the degree bound'), ('unreached nodes')) AS t(f)",
         "e4_graph_search_full_beam": exact_l2,
         "e4_graph_search_floor": "SELECT count(*) AS queries, true AS reaches_floor FROM embeddings",
         "e5_ivf_append": exact_l2,

@@ -1,0 +1,39 @@
+import re
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+import check
+
+FAST = [
+    "a1_scan_fvecs", "a5_scan_parquet_vectors", "b3_from_vector_literal", "c4_cosine_distance", "c8_binarize",
+    "d2_knn_join_cosine", "d2_knn_join_jaccard", "d3_knn_join_filter99", "f1_recall", "f6_latency_summary", "f8_qps",
+]
+FOLDER = contract.SMOKE_DIR
+
+
+def test_every_query_has_sql():
+    assert set(contract.oracle_sql()) == set(contract.queries())
+
+
+def test_entry(spark):
+    found = contract.entry(spark)
+    assert found.columns == ["qid", "rank", "id", "distance"]
+    assert found.count() == 10 * spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+
+
+@pytest.mark.parametrize("name", FAST)
+def test_query_equals_sql(spark, name):
+    ok, note = check.compare(spark, check.connect(FOLDER), FOLDER, name)
+    assert ok, note
+
+
+def test_sql_runs_on_an_empty_table():
+    """The SQL must not lean on particular rows."""
+    db = duckdb.connect()
+    db.execute("CREATE VIEW embeddings AS SELECT * FROM '%s/embeddings.parquet' WHERE false" % FOLDER)
+    db.execute("CREATE VIEW events AS SELECT * FROM '%s/events.parquet' WHERE false" % FOLDER)
+    for name, sql in contract.oracle_sql().items():
+        db.execute(sql).fetchall()
+        assert not re.search(r"vec_id\s*<|LIMIT\s+\d{2,}0", sql), name

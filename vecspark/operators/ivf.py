@@ -69,19 +69,27 @@ def largest_norm(base: DataFrame) -> float:
 def train_centroids(
     base: DataFrame, rows: int, lists: int, metric: str, max_norm: float, seed: int, max_iter: int
 ) -> np.ndarray:
-    """Centroids from a seeded sample of at most about 256 rows per list."""
+    """Centroids from a seeded sample of at most about 256 rows per list.
+
+    Copies are counted into one weighted point, and there are no more centroids
+    than distinct points: the trainer needs its starting points to differ.
+    """
     sample = base.select("v")
     share = SAMPLE_PER_LIST * lists / rows
     if share < 1:
         sample = sample.sample(share, seed=seed)
     points = (
         sample.mapInArrow(kernels.to_cell_space(metric, max_norm), "point array<double>")
-        .select(array_to_vector("point").alias("features"))
+        .groupBy("point").agg(F.count("*").cast("double").alias("weight"))
+        .select(array_to_vector("point").alias("features"), "weight")
         .persist()
     )
     try:
-        model = KMeans(k=lists, seed=seed, maxIter=max_iter, initSteps=2).fit(points)
-        return np.array(model.clusterCenters())
+        k = min(lists, points.count())
+        if k == 1:
+            return np.zeros((1, points.first()["features"].size))
+        trainer = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="random", weightCol="weight")
+        return np.array(trainer.fit(points).clusterCenters())
     finally:
         points.unpersist()
 
@@ -135,6 +143,7 @@ def ivf_build(
     size = knn.vector_stats(base, "v")
     if not size.rows:
         raise ValueError("cannot build an index on an empty base")
+    lists = min(lists, size.rows)
     check_lists(lists, metric, size.dim)
     max_norm = 0.0
     if metric == "ip":

@@ -244,7 +244,7 @@ def validate_dataset(df: DataFrame, dataset: Dataset, vec_col: str = "v", files:
     ).select("c.*")
     if files and dataset.format != "PARQUET":
         width = vecs.record_bytes(dataset.dim, ELEMENT_OF_TYPE[dataset.base_type])
-        lengths = vecs.file_lengths(spark, [dataset.path(f) for f, _ in dataset.base_files])
+        lengths = vecs.file_lengths([dataset.path(f) for f, _ in dataset.base_files])
         sized = [
             (f"bytes of {name}", count * width, length)
             for (name, count), (_, length) in zip(dataset.base_files, lengths)

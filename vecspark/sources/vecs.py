@@ -9,6 +9,7 @@ id is its position over all files, in the order they are given.
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -102,14 +103,17 @@ class VecsDataSource(DataSource):
         return VecsReader(self.options)
 
 
-def file_lengths(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+def file_lengths(paths: list[str]) -> list[tuple[str, int]]:
     """``(path, length)`` of each file, in the given order; file contents are not read."""
+    from pyarrow import fs
+
     found = []
     for path in paths:
-        row = spark.read.format("binaryFile").load(path).select("path", "length").take(2)
-        if len(row) != 1:
-            raise ValueError(f"{path} is not one file")
-        found.append((row[0]["path"], row[0]["length"]))
+        system, inner = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+        info = system.get_file_info(inner)
+        if info.type != fs.FileType.File:
+            raise FileNotFoundError(path)
+        found.append((path if "://" in path else os.path.abspath(path), info.size))
     return found
 
 
@@ -118,7 +122,7 @@ def _scan(
 ) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     size = record_bytes(dim, element)
-    files = file_lengths(spark, paths)
+    files = file_lengths(paths)
     for path, length in files:
         if length % size:
             raise ValueError(f"{path}: {length} bytes is not a whole number of {size}-byte records")
