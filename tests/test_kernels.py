@@ -42,7 +42,7 @@ def test_scan_equals_full_sort(metric, rows, k, batches, copies, seed):
     assert run(metric, base, queries, k, batches, base.dtype) == brute(metric, base, queries, k)
 
 
-@pytest.mark.parametrize("metric", kernels.GEMM_METRICS)
+@pytest.mark.parametrize("metric", ["l1", "l2", "ip", "cosine"])
 def test_float32_screening_misses_nothing(metric):
     rng = np.random.default_rng(3)
     # far from the origin, so that float32 products cancel badly

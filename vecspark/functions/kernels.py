@@ -12,11 +12,11 @@ import pyarrow as pa
 
 METRICS = ("l1", "l2", "ip", "cosine", "hamming", "jaccard")
 BIT_METRICS = ("hamming", "jaccard")
-GEMM_METRICS = ("l2", "ip", "cosine")
 
 #: elements of one score matrix, and of one gathered block of exact pairs
-SCORE_ELEMENTS = 4_000_000
+SCORE_ELEMENTS = 1_000_000
 PAIR_ELEMENTS = 8_000_000
+TILE_ROWS = 1024
 
 RESULT_FIELDS = "qid long, id long, distance double"
 _RESULT_SCHEMA = pa.schema(
@@ -87,18 +87,25 @@ class QueryBlock:
         self.qids = qids
         self.exact = np.ascontiguousarray(matrix, dtype=exact_type(metric))
         self._screens: dict = {}
-        if metric in GEMM_METRICS:
+        if metric not in BIT_METRICS:
             self.norms = np.sqrt(np.square(self.exact).sum(axis=1))
 
     def screen(self, dtype) -> np.ndarray:
         key = np.dtype(dtype)
         if key not in self._screens:
-            rows = self.exact
+            rows = -self.exact
             if self.metric == "cosine":
                 rows = rows / np.where(self.norms == 0, 1.0, self.norms)[:, None]
+            elif self.metric == "l2":  # |b|^2 - 2 q.b, when b carries |b|^2 as one more coordinate
+                rows = np.column_stack([2 * rows, np.ones(len(rows))])
             self._screens[key] = rows.astype(key)
         return self._screens[key]
 
+    def bits(self, width: int) -> np.ndarray:
+        if width not in self._screens:
+            self._screens[width] = unpack_bits(self.exact, width)
+        return self._screens[width]
+
 
 class TopK:
     """The k best (distance, id) per query seen so far; NaN distances sort last."""
@@ -146,11 +153,15 @@ def scan_block(best: TopK, queries: QueryBlock, rows: np.ndarray, ids: np.ndarra
     if block.shape[1] != queries.exact.shape[1]:
         raise ValueError(f"vectors differ in dimension: {block.shape[1]} and {queries.exact.shape[1]}")
     metric = queries.metric
-    if metric not in GEMM_METRICS:
-        full = block.astype(exact_type(metric), copy=False)
-        for r in rows:
-            best.offer(np.full(len(ids), r), ids, paired(metric, full, queries.exact[r]))
-            best.settle()
+    if metric in BIT_METRICS:
+        full = block.astype(np.int64, copy=False)
+        width = max(used_width(queries.exact), used_width(full))
+        bits = unpack_bits(full, width)
+        step = max(1, SCORE_ELEMENTS // len(ids))
+        for lo in range(0, len(rows), step):
+            r = rows[lo:lo + step]
+            scores = bit_scores(metric, queries.bits(width)[r], bits)
+            _offer_within(best, queries, r, ids, full, scores, best.limit[r], np.zeros(len(r)))
         return
 
     full = block.astype(np.float64, copy=False)
@@ -161,39 +172,84 @@ def scan_block(best: TopK, queries: QueryBlock, rows: np.ndarray, ids: np.ndarra
     screened = block.astype(dtype, copy=False)
     if metric == "cosine":
         screened = (full / np.where(norms == 0, 1.0, norms)[:, None]).astype(dtype)
+    elif metric == "l2":
+        screened = np.column_stack([screened, np.square(norms).astype(dtype)])
+    elif metric == "l1":
+        reach = np.abs(full).sum(axis=1).max()
     # A product of two dim-long vectors is off by at most dim rounding units of
     # |a||b|, so a row within the limit plus this slack cannot be missed.
     unit = (block.shape[1] + 16) * np.finfo(dtype).eps
     step = max(1, SCORE_ELEMENTS // len(ids))
     for lo in range(0, len(rows), step):
         r = rows[lo:lo + step]
-        scores = queries.screen(dtype)[r] @ screened.T
         limit = best.limit[r]
+        if metric == "l1":
+            scores = l1_scores(queries.screen(dtype)[r], screened)
+            slack = 4 * unit * (np.abs(queries.exact[r]).sum(axis=1) + reach)
+            _offer_within(best, queries, r, ids, full, scores, limit + slack, slack)
+            continue
+        scores = queries.screen(dtype)[r] @ screened.T
         if metric == "l2":
-            scores *= -2
-            scores += np.square(norms).astype(dtype)
             slack = 4 * unit * np.square(queries.norms[r] + top)
             limit = np.square(limit) - np.square(queries.norms[r]) + slack
         elif metric == "ip":
-            np.negative(scores, out=scores)
             slack = 2 * unit * queries.norms[r] * top + np.finfo(dtype).tiny
             limit = limit + slack
         else:
-            np.negative(scores, out=scores)
             scores[:, norms == 0] = np.inf
             scores[queries.norms[r] == 0] = np.inf
             slack = np.full(len(r), 4 * unit)
             limit = limit - 1.0 + slack
-        open_rows = np.flatnonzero(np.isinf(limit))
-        if len(open_rows) and len(ids) > best.k:
-            kth = np.partition(scores[open_rows], best.k - 1, axis=1)[:, best.k - 1]
-            limit[open_rows] = kth + 2 * slack[open_rows]
-        q_at, b_at = np.nonzero(scores <= limit[:, None])
-        pairs = max(1, PAIR_ELEMENTS // block.shape[1])
-        for at in range(0, len(q_at), pairs):
-            q, b = r[q_at[at:at + pairs]], b_at[at:at + pairs]
-            best.offer(q, ids[b], paired(metric, queries.exact[q], full[b]))
-            best.settle()
+        _offer_within(best, queries, r, ids, full, scores, limit, slack)
+
+
+def _offer_within(best: TopK, queries: QueryBlock, r, ids, full, scores, limit, slack) -> None:
+    """Offer the rows whose score is within ``limit``, with their exact distance."""
+    open_rows = np.flatnonzero(np.isinf(limit))
+    if len(open_rows) and len(ids) > best.k:
+        kth = np.partition(scores[open_rows], best.k - 1, axis=1)[:, best.k - 1]
+        limit[open_rows] = kth + 2 * slack[open_rows]
+    q_at, b_at = np.divmod(np.flatnonzero(scores <= limit.astype(scores.dtype)[:, None]), len(ids))
+    pairs = max(1, PAIR_ELEMENTS // full.shape[1])
+    for at in range(0, len(q_at), pairs):
+        q, b = r[q_at[at:at + pairs]], b_at[at:at + pairs]
+        best.offer(q, ids[b], paired(queries.metric, queries.exact[q], full[b]))
+        best.settle()
+
+
+def l1_scores(negated: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Manhattan distances, one coordinate at a time over tiles that stay in cache."""
+    scores = np.empty((len(negated), len(block)), dtype=block.dtype)
+    for lo in range(0, len(block), TILE_ROWS):
+        columns = np.ascontiguousarray(block[lo:lo + TILE_ROWS].T)
+        total = np.zeros((len(negated), columns.shape[1]), dtype=block.dtype)
+        part = np.empty_like(total)
+        for j, column in enumerate(columns):
+            np.add(negated[:, j, None], column, out=part)
+            np.abs(part, out=part)
+            total += part
+        scores[:, lo:lo + TILE_ROWS] = total
+    return scores
+
+
+def bit_scores(metric: str, queries: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Hamming or Jaccard distances of rows of 0/1; the counts are exact in float32."""
+    both = (queries @ block.T).astype(np.float64)
+    total = queries.sum(axis=1, dtype=np.float64)[:, None] + block.sum(axis=1, dtype=np.float64)
+    if metric == "hamming":
+        return total - 2 * both
+    either = total - both
+    return np.where(either == 0, 0.0, 1.0 - both / np.maximum(either, 1.0))
+
+
+def unpack_bits(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 0/1 from words of which the lowest ``width`` bits are used."""
+    narrow = np.ascontiguousarray(words, dtype=np.int64).astype(f"<u{width // 8}")
+    return np.unpackbits(narrow.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+
+
+def used_width(words: np.ndarray) -> int:
+    return 32 if words.min() >= 0 and words.max() < 1 << 32 else 64
 
 
 def result_batches(queries: QueryBlock, best: TopK, rows: int = 200_000):
@@ -274,8 +330,7 @@ def cell_space(metric: str, matrix: np.ndarray, max_norm: float = 0.0, query: bo
     base vector the same length, so nearest means largest product. Bits: 0/1.
     """
     if metric in BIT_METRICS:
-        words = np.ascontiguousarray(matrix, dtype=np.int64)
-        return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float64)
+        return unpack_bits(matrix, 64).astype(np.float64)
     points = matrix.astype(np.float64)
     if metric == "cosine":
         norms = np.sqrt(np.square(points).sum(axis=1))
