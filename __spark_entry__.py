@@ -585,7 +585,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d6_expand_workload": d6_expand_workload,
         "e1_ivf_build": e1_ivf_build,
         "e2_ivf_search_all_probes": _ivf_query("l2"),
-        "e2_ivf_search_shuffled": _ivf_query("l2", broadcast_bytes=0, chunk_bytes=10_000),
+        "e2_ivf_search_shuffled": _ivf_query("l2", broadcast_bytes=0, chunk_bytes=50_000),
         "e3_graph_build": e3_graph_build,
         "e4_graph_search_full_beam": _graph_query("l2"),
         "e4_graph_search_floor": e4_graph_search_floor,

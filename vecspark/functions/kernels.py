@@ -323,6 +323,40 @@ def topk_pair(k: int, metric: str):
     return run
 
 
+def asked_distances(shared, metric: str):
+    """``mapInArrow`` body for ``(id, part, v, qids)``: distance of each row to the listed broadcast queries."""
+
+    def run(batches):
+        qids, matrix = shared.value
+        order = np.argsort(qids)
+        known = qids[order]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            asked = batch.column(3)
+            counts = np.diff(asked.offsets.to_numpy())
+            asked = asked.flatten().to_numpy()
+            at = order[np.searchsorted(known, asked)]
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            block = as_matrix(batch.column(2)).astype(exact_type(metric))
+            step = max(1, PAIR_ELEMENTS // block.shape[1])
+            d = np.empty(len(asked))
+            for lo in range(0, len(asked), step):
+                part = slice(lo, lo + step)
+                d[part] = paired(metric, matrix[at[part]], block[row[part]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(asked),
+                    batch.column(0).take(pa.array(row)),
+                    batch.column(1).take(pa.array(row)),
+                    pa.array(d, from_pandas=False),
+                ],
+                names=["qid", "id", "part", "distance"],
+            )
+
+    return run
+
+
 def cell_space(metric: str, matrix: np.ndarray, max_norm: float = 0.0, query: bool = False) -> np.ndarray:
     """Vectors as the Euclidean points that cells are formed on.
 

@@ -44,8 +44,12 @@ class IvfIndex:
 
     def centroids(self, spark: SparkSession):
         """``(numbers, matrix)``; small enough to broadcast, as checked when built."""
-        table = spark.table(self.table("centroids")).orderBy("list").toArrow()
-        return table.column("list").to_numpy(), kernels.as_matrix(table.column("c"))
+        return read_centroids(spark, self.table("centroids"))
+
+
+def read_centroids(spark: SparkSession, table: str):
+    rows = spark.table(table).select("list", "c").toArrow().sort_by("list")
+    return rows.column("list").to_numpy(), kernels.as_matrix(rows.column("c"))
 
 
 def cell_dim(metric: str, dim: int) -> int:
