@@ -131,3 +131,9 @@ def test_sweep_scores_each_setting(base, index):
     found = {(r["setting"], r["statistic"]): r["value"] for r in sweep_summary(recalls, "99").collect()}
     assert found[(16, "worst")] == found[(16, "P(99%)")] == 1.0
     assert found[(1, "average")] < 1.0
+
+
+def test_vectors_of_mixed_dimension_are_refused(spark):
+    base = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="dimension|shape|size"):
+        ivf.ivf_build(base.repartition(3), "ivf_mixed", 2, "l2")

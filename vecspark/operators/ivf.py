@@ -143,8 +143,8 @@ def ivf_build(
     """Cluster the base into at most ``lists`` cells and write the index tables."""
     kernels.check_metric(metric)
     spark = base.sparkSession
+    size = knn.base_stats(base, vec_col)
     base = _payload(base, id_col, vec_col)
-    size = knn.vector_stats(base, "v")
     if not size.rows:
         raise ValueError("cannot build an index on an empty base")
     lists = min(lists, size.rows)

@@ -44,6 +44,17 @@ def vector_stats(df: DataFrame, vec_col: str) -> VectorStats:
     return VectorStats(row["n"], row["hi"] or 0)
 
 
+def base_stats(base: DataFrame, vec_col: str) -> VectorStats:
+    """Row count and dimension without reading the vectors.
+
+    The count comes from file footers unless a filter stands before it, and
+    includes rows without a vector; the dimension is that of the first vector.
+    The scan itself refuses vectors of another dimension.
+    """
+    first = base.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
+    return VectorStats(base.count(), first[0]) if first else VectorStats(0, 0)
+
+
 def base_columns(base: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return base.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")
@@ -106,15 +117,15 @@ def knn_join(
     _check(k, metric)
     if predicate is not None:
         base = base.where(predicate)
-    base = base_columns(base, id_col, vec_col)
     queries = query_columns(queries)
     size = vector_stats(queries, "qv")
     if not size.rows:
         return _empty_answers(base.sparkSession)
+    rows = base_columns(base, id_col, vec_col)
     if size.bytes <= broadcast_bytes:
-        partial = _scan(base, collect_queries(queries, metric), k, metric, bound_fraction)
+        partial = _scan(rows, collect_queries(queries, metric), k, metric, bound_fraction)
     else:
-        partial = _join_chunks(base, queries, size, k, metric, chunk_bytes)
+        partial = _join_chunks(rows, base_stats(base, vec_col), queries, size, k, metric, chunk_bytes)
     return merge_topk(partial, k)
 
 
@@ -145,9 +156,10 @@ def _sample_bound(base, queries, k, metric, fraction) -> np.ndarray:
     return bound
 
 
-def _join_chunks(base, queries, size: VectorStats, k: int, metric: str, chunk_bytes: int) -> DataFrame:
+def _join_chunks(
+    base, base_size: VectorStats, queries, size: VectorStats, k: int, metric: str, chunk_bytes: int
+) -> DataFrame:
     """Both sides too large to broadcast: meet chunk by chunk, keyed by the chunk pair."""
-    base_size = vector_stats(base, "v")
     if not base_size.rows:
         return base.sparkSession.createDataFrame([], kernels.RESULT_FIELDS)
     n_base = max(1, math.ceil(base_size.bytes / chunk_bytes))
