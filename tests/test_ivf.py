@@ -1,11 +1,10 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import as_queries, brute, listed, mean_recall, vectors
 from vecspark.operators import ivf
 from vecspark.plans.sweep import sweep, sweep_summary
-from vecspark.operators.knn import ground_truth, knn_join
+from vecspark.operators.knn import ground_truth
 from vecspark.sources import tables
 
 RNG = np.random.default_rng(11)

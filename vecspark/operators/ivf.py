@@ -226,7 +226,7 @@ def ivf_search(
     if size.bytes + size.rows * probes * 8 <= limit:
         partial = _scan_lists(index, postings, probed, k)
     else:
-        partial = _join_lists(index, postings, probed, size, k, chunk_bytes or knn.CHUNK_BYTES)
+        partial = _join_lists(index, postings, probed, k, chunk_bytes or knn.CHUNK_BYTES)
     return knn.merge_topk(partial, k)
 
 
@@ -250,9 +250,7 @@ def _scan_lists(index: IvfIndex, postings: DataFrame, probed: DataFrame, k: int)
     )
 
 
-def _join_lists(
-    index: IvfIndex, postings: DataFrame, probed: DataFrame, size: knn.VectorStats, k: int, chunk_bytes: int
-) -> DataFrame:
+def _join_lists(index: IvfIndex, postings: DataFrame, probed: DataFrame, k: int, chunk_bytes: int) -> DataFrame:
     room = max(1, chunk_bytes // (index.dim * 8))
     probes = probed.select("qid", "qv", F.explode("cells").alias("list"))
     return join_lists(postings, probes, room, k, index.metric, few_lists=True)
