@@ -24,6 +24,13 @@ from vecspark.plans import sweep as sweeps  # noqa: E402
 from vecspark.session import scratch_dir, scratch_path, ship_package, write_step  # noqa: E402
 from vecspark.sources import parquet, registry, tables, vecs  # noqa: E402
 
+try:
+    from vecspark.llm import queries as training_data
+except ModuleNotFoundError as missing:
+    if missing.name not in ("vecspark.llm", "vecspark.llm.queries"):
+        raise
+    training_data = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 K = 10
 DIM = 64
@@ -610,7 +617,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f8_qps": f8_qps,
         "f9_ground_truth": f9_ground_truth,
         "f10_sweep": f10_sweep,
-    }
+    } | (training_data.queries() if training_data else {})
 
 
 # ---------------------------------------------------------------- SQL
@@ -799,4 +806,4 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "FROM events GROUP BY event_type)",
         "f9_ground_truth": _sql_knn("cosine", columns="qid, rank, id"),
         "f10_sweep": "SELECT vec_id AS qid, 3::BIGINT AS settings, 1.0::DOUBLE AS recall_all_lists, true AS rising FROM embeddings",
-    }
+    } | (training_data.oracle_sql() if training_data else {})
