@@ -104,7 +104,7 @@ FROM kept JOIN turns USING (conv_id) GROUP BY conv_id, n_turns, n_copies
 
 _SHINGLES = r"""
     SELECT {id}, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS shingle
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
     FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table})
     WHERE len(w) > 0
 """
