@@ -124,3 +124,26 @@ def test_positions_over_many_ranges(spark):
     placed, count = knn.with_position(df, "key", buckets=16)
     assert count == 1000
     assert [r["pos"] for r in placed.orderBy("key").collect()] == list(range(1000))
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "ip", "cosine"])
+@pytest.mark.parametrize("chunked", [False, True])
+def test_non_finite_elements_hide_nothing(spark, monkeypatch, metric, chunked):
+    if chunked:
+        monkeypatch.setattr(knn, "BROADCAST_BYTES", 1)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 6))
+    base[7, 2], base[11, 0], base[12, 5], base[13, 1] = np.nan, np.inf, -np.inf, 1e200
+    queries = np.vstack([rng.standard_normal((4, 6)), base[7], base[11]])
+    answers = knn.knn_join(vectors(spark, base, partitions=1), as_queries(vectors(spark, queries)), 5, metric)
+    with np.errstate(all="ignore"):
+        assert listed(answers) == brute(metric, base, queries, 5)
+    everything = knn.knn_join(vectors(spark, base), as_queries(vectors(spark, queries)), 300, metric)
+    assert {q: len(ids) for q, ids in listed(everything).items()} == {q: 300 for q in range(6)}
+
+
+def test_non_finite_sample_bound(spark):
+    base = np.full((50, 3), np.nan)
+    base[40:] = np.arange(30).reshape(10, 3)
+    answers = knn.knn_join(vectors(spark, base), as_queries(vectors(spark, base[40:42])), 12, "l2", bound_fraction=0.5)
+    assert {q: len(ids) for q, ids in listed(answers).items()} == {0: 12, 1: 12}

@@ -88,7 +88,8 @@ class QueryBlock:
         self.exact = np.ascontiguousarray(matrix, dtype=exact_type(metric))
         self._screens: dict = {}
         if metric not in BIT_METRICS:
-            self.norms = np.sqrt(np.square(self.exact).sum(axis=1))
+            with np.errstate(over="ignore", invalid="ignore"):
+                self.norms = np.sqrt(np.square(self.exact).sum(axis=1))
 
     def screen(self, dtype) -> np.ndarray:
         key = np.dtype(dtype)
@@ -165,9 +166,19 @@ def scan_block(best: TopK, queries: QueryBlock, rows: np.ndarray, ids: np.ndarra
         return
 
     full = block.astype(np.float64, copy=False)
-    norms = np.sqrt(np.square(full).sum(axis=1))
-    top = norms.max()
-    small = block.dtype == np.float32 and top < 1e15 and queries.norms.max() < 1e15
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt(np.square(full).sum(axis=1))
+    # Norms that are NaN or infinite bound nothing: such rows and queries are
+    # measured exactly against everything, the rest is screened among itself.
+    tame, calm = np.isfinite(norms), np.isfinite(queries.norms[rows])
+    if not (tame.all() and calm.all()):
+        _offer_all(best, queries, rows, ids[~tame], full[~tame])
+        _offer_all(best, queries, rows[~calm], ids[tame], full[tame])
+        rows, ids, block, full, norms = rows[calm], ids[tame], block[tame], full[tame], norms[tame]
+        if not len(rows) or not len(ids):
+            return
+    top, widest = norms.max(), queries.norms[rows].max()
+    small = block.dtype == np.float32 and top < 1e15 and widest < 1e15
     dtype = np.float32 if small else np.float64
     screened = block.astype(dtype, copy=False)
     if metric == "cosine":
@@ -203,6 +214,16 @@ def scan_block(best: TopK, queries: QueryBlock, rows: np.ndarray, ids: np.ndarra
         _offer_within(best, queries, r, ids, full, scores, limit, slack)
 
 
+def _offer_all(best: TopK, queries: QueryBlock, rows: np.ndarray, ids: np.ndarray, full: np.ndarray) -> None:
+    """Offer every pair with its exact distance."""
+    step = max(1, PAIR_ELEMENTS // max(1, full.shape[1]))
+    for at in range(0, len(rows) * len(ids), step):
+        q_at, b_at = np.divmod(np.arange(at, min(at + step, len(rows) * len(ids))), len(ids))
+        with np.errstate(over="ignore", invalid="ignore"):
+            best.offer(rows[q_at], ids[b_at], paired(queries.metric, queries.exact[rows[q_at]], full[b_at]))
+        best.settle()
+
+
 def _offer_within(best: TopK, queries: QueryBlock, r, ids, full, scores, limit, slack) -> None:
     """Offer the rows whose score is within ``limit``, with their exact distance."""
     open_rows = np.flatnonzero(np.isinf(limit))

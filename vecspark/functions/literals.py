@@ -12,9 +12,10 @@ def to_vector_literal(v) -> Column:
 
 
 def from_vector_literal(text, dim: int | None = None, element: str = "float") -> Column:
-    """Array from text; a size other than ``dim`` is an error."""
+    """Array from text; a null element, or a size other than ``dim``, is an error."""
     text = F.col(text) if isinstance(text, str) else text
     v = F.from_json(F.trim(text), f"array<{element}>")
+    v = F.when(F.exists(v, lambda x: x.isNull()), F.raise_error(F.lit("null element in a vector"))).otherwise(v)
     if dim is None:
         return v
     wrong = F.raise_error(

@@ -152,7 +152,8 @@ def _sample_bound(base, queries, k, metric, fraction) -> np.ndarray:
     bound = np.full(len(qids), np.inf)
     order = np.argsort(qids)
     at = order[np.searchsorted(qids[order], found.column("qid").to_numpy())]
-    bound[at] = found.column("distance").to_numpy()
+    distance = found.column("distance").to_numpy()
+    bound[at] = np.where(np.isnan(distance), np.inf, distance)
     return bound
 
 
