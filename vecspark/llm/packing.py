@@ -7,6 +7,7 @@ decreasing: a piece goes to the row with the least room that still takes it.
 
 from __future__ import annotations
 
+import array
 import base64
 from collections.abc import Iterator
 
@@ -23,7 +24,6 @@ END_OF_TEXT = 50256
 ROW_TOKENS = 2048
 #: Texts of a shard have about so many characters together; a shard is packed in one task.
 SHARD_CHARS = 4 << 20
-CACHED_PIECES = 200_000
 
 PACKED = (
     "shard long, row int, input_ids array<int>, position_ids array<int>, cu_seqlens array<int>, "
@@ -81,43 +81,32 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-class _Pieces(dict):
-    """Ids of text parts that start at a single space, so that no token spans two of them."""
+class Encoder:
+    """Ids of texts as bytes: 16-bit numbers if the vocabulary fits into them, else 32-bit ones."""
 
     def __init__(self, path: str):
-        import re
-
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
-
-    def __missing__(self, part: str) -> np.ndarray:
-        ids = np.array(self.encoding.encode_ordinary(part), np.uint32)
-        if len(part) <= 64:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[part] = ids
-        return ids
+        self.code = "H" if max(ranks.values()) < 0xFFFF else "I"
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = [self[x] for x in self.cut.split(text) if x]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    def encode(self, text: str, tail: list[int]) -> bytes:
+        return array.array(self.code, self.encoding.encode_ordinary(text) + tail).tobytes()
 
 
-_loaded: dict[str, _Pieces] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> _Pieces:
+def encoder(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = _Pieces(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int | None = END_OF_TEXT) -> DataFrame:
-    """``(doc_id, text_hash, n_tokens, ids binary)``: little-endian 32-bit ids of each whole text.
+    """``(doc_id, text_hash, n_tokens, ids binary)``: ids of each whole text, in the width of ``id_type``.
 
     ``end`` is appended to every text; null and empty texts have no ids at all.
     """
@@ -125,20 +114,18 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int | None = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(vocabulary)
-        tail = np.array([] if end is None else [end], np.uint32)
+        size = array.array(pieces.code).itemsize
+        tail = [] if end is None else [end]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                out = []
-                for text in batch.column(2):
-                    text = text.as_py()
-                    out.append(np.concatenate([pieces.encode(text), tail]) if text else tail[:0])
+                out = [pieces.encode(text, tail) if text else b"" for text in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         batch.column(1),
-                        pa.array([len(x) for x in out], pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in out], pa.binary()),
+                        pa.array([len(x) // size for x in out], pa.int64()),
+                        pa.array(out, pa.binary()),
                     ],
                     ["doc_id", "text_hash", "n_tokens", "ids"],
                 )
@@ -147,8 +134,12 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int | None = EN
     return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, ids binary")
 
 
-def pack(tokens: DataFrame, shards: int, capacity: int = ROW_TOKENS, pad: int = END_OF_TEXT) -> DataFrame:
-    """Pack ``tokenize`` output into rows of ``capacity`` ids.
+def id_type(vocabulary: str) -> str:
+    return encoder(vocabulary).code
+
+
+def pack(tokens: DataFrame, code: str, shards: int, capacity: int = ROW_TOKENS, pad: int = END_OF_TEXT) -> DataFrame:
+    """Pack ``tokenize`` output (ids of type ``code``) into rows of ``capacity`` ids.
 
     Row: shard, row, input_ids (padded to ``capacity``), position_ids (restarting at 0
     in every segment, 0 in the padding), cu_seqlens (segment bounds from 0; the last
@@ -158,7 +149,7 @@ def pack(tokens: DataFrame, shards: int, capacity: int = ROW_TOKENS, pad: int =
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
-        ids = [np.frombuffer(x.as_py(), "<u4") for x in table["ids"]]
+        ids = [np.frombuffer(x.as_py(), code) for x in table["ids"]]
         documents = table["doc_id"].to_pylist()
         pieces = [(d, s) for d, x in enumerate(ids) for s in range(0, len(x), capacity)]
         lengths = np.array([min(capacity, len(ids[d]) - s) for d, s in pieces], np.int64)
@@ -208,7 +199,7 @@ def pack_documents(
     are ignored. An empty table gives no rows.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return pack(tokenize(docs, vocabulary), max(1, -(-chars // shard_chars)), capacity)
+    return pack(tokenize(docs, vocabulary), id_type(vocabulary), max(1, -(-chars // shard_chars)), capacity)
 
 
 def as_binary(packed: DataFrame) -> DataFrame:
