@@ -322,3 +322,10 @@ def test_ann_recall_and_exactness(spark):
         assert answers == sorted(answers, key=lambda a: (-a[1], a[0]))
     assert np.mean(recall) >= 0.9
     assert ann.nearest(vectors.limit(0)).count() == 0 and ann.nearest(vectors.where("vec_id in (20, 21)")).count() == 1
+
+
+def test_calibration_of_separable_examples_stays_finite():
+    x = np.r_[np.full((200, 3), -1.0), np.full((300, 3), 1.0)] + np.random.default_rng(2).normal(0, 0.01, (500, 3))
+    y = np.r_[np.zeros(200), np.ones(300)]
+    w = quality._fit_logistic(x, y)
+    assert np.abs(w).max() < 50 and (((x @ w[:-1] + w[-1]) > 0) == (y == 1)).all()

@@ -67,19 +67,25 @@ def features(raw: bytes, sizer: Sizer) -> np.ndarray:
     return np.array([difference, difference * abs(difference), density, density * density, difference * density, length])
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton steps."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton steps, halved until the penalised loss falls."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + penalty * w
         curvature = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curvature, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step, now = np.linalg.solve(curvature, gradient), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
