@@ -64,7 +64,7 @@ def varied(seed, n, changes):
 @pytest.mark.parametrize("width, small_blocks", [(2, False), (5, True)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, small_blocks):
     if small_blocks:
-        for name, value in dict(LARGE_GROUP=3, BLOCK_MEMBERS=4, BLOCK_ASKED=3, LIST_BLOCK=4, LIST_BUCKETS=5).items():
+        for name, value in dict(LARGE_GROUP=3, BLOCK_MEMBERS=4, BLOCK_ASKED=3, LIST_BLOCK=4, BUCKET_POSTINGS=50, BLOCK_SHINGLES=200).items():
             monkeypatch.setattr(neardup, name, value)
     texts = sentences(1, 20) + varied(2, 60, 14) + ["same words here"] * 4 + ["Same WORDS here", "one", "ONE", "", None]
     rows = list(enumerate(texts, start=10))
