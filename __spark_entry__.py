@@ -455,9 +455,16 @@ def e8_drop_index(spark, sf_dir):
     base = _base(spark, sf_dir)
     index = ivf.ivf_build(base, _name("ivf_drop"), 4, "l2", location=scratch_dir(spark))
     before = write_step(index.postings(spark).agg(F.count("*").alias("postings")), "before")
+    folder = tables.table_folder(spark, index.table("postings"))
+    held = tables.count_files(spark, folder) > 0
     tables.drop_index(spark, index.name)
     tables.drop_index(spark, index.name)
-    return before.select("postings", F.lit(spark.catalog.tableExists(index.table("postings"))).alias("still_there"))
+    return before.select(
+        "postings",
+        F.lit(spark.catalog.tableExists(index.table("postings"))).alias("still_there"),
+        F.lit(held).alias("had_files"),
+        F.lit(tables.count_files(spark, folder)).cast("long").alias("files_left"),
+    )
 
 
 # ---------------------------------------------------------------- evaluation
@@ -785,7 +792,7 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "e6_graph_append": exact_l2,
         "e7_ivf_search_filtered": _sql_knn("l2", labelled),
         "e7_graph_search_filtered": _sql_knn("l2", labelled),
-        "e8_drop_index": "SELECT count(*) AS postings, false AS still_there FROM embeddings",
+        "e8_drop_index": "SELECT count(*) AS postings, false AS still_there, true AS had_files, 0::BIGINT AS files_left FROM embeddings",
         "e9_ivf_search_cosine": _sql_knn("cosine"),
         "e9_ivf_search_ip": _sql_knn("ip"),
         "e9_ivf_search_l1": _sql_knn("l1"),

@@ -111,6 +111,14 @@ def test_append_and_drop(spark, base):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ivf_grown")]
 
 
+def test_drop_deletes_files(spark, base, tmp_path):
+    (tmp_path / "other").mkdir()
+    index = ivf.ivf_build(base, "ivf_gone", 4, "l2", location=str(tmp_path))
+    assert (tmp_path / "ivf_gone_postings").exists()
+    tables.drop_index(spark, index.name)
+    assert [x.name for x in tmp_path.iterdir()] == ["other"]
+
+
 def test_bad_arguments(spark, base, index):
     with pytest.raises(ValueError):
         ivf.ivf_search(index, as_queries(base), 5, 0)

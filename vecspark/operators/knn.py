@@ -275,9 +275,13 @@ def with_position(df: DataFrame, key: str, buckets: int = 256) -> tuple[DataFram
 
 
 def with_range(df: DataFrame, key: str, cuts: list, name: str = "range") -> DataFrame:
-    """Add the number of cuts not above ``key``: rows of one number form one value range."""
+    """Add the number of cuts not above ``key``: rows of one number form one value range.
+
+    Cuts that are NaN or infinite are left out; a NaN key comes into a range after all others.
+    """
+    cuts = sorted({float(c) for c in cuts if math.isfinite(c)})
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
-    splits = [-math.inf, *map(float, cuts), math.inf]
+    splits = [-math.inf, *cuts, math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep")
     return bucketizer.transform(df)

@@ -48,10 +48,34 @@ def drop_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def table_folder(spark: SparkSession, table: str) -> str | None:
+    """The folder that holds the files of ``table``; None if there is no such table."""
+    if not spark.catalog.tableExists(table):
+        return None
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").select("data_type").collect()
+    return rows[0][0] if rows else None
+
+
+def count_files(spark: SparkSession, folder: str) -> int:
+    """Files below ``folder``, read through Hadoop; 0 if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getContentSummary(path).getFileCount() if store.exists(path) else 0
+
+
 def drop_index(spark: SparkSession, name: str) -> None:
-    """Drop every table of an index; an absent index is no error."""
+    """Drop every table of an index with its files; an absent index is no error.
+
+    Dropping a table written with ``location`` leaves its folder, which ``save`` names after the
+    table; only a folder of that name is deleted.
+    """
     for kind in ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies"):
-        drop_table(spark, f"{name}_{kind}")
+        table = f"{name}_{kind}"
+        folder = table_folder(spark, table)
+        drop_table(spark, table)
+        if folder and folder.rstrip("/").rsplit("/", 1)[-1] == table:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def export_delimited(df: DataFrame, path: str, id_col: str = "id", vec_col: str = "v", sep: str = "|") -> None:
