@@ -19,8 +19,7 @@ from vecspark.functions import kernels
 from vecspark.operators import knn
 from vecspark.sources import tables
 
-#: training rows per list, and partition folders of the postings table
-SAMPLE_PER_LIST = 256
+#: partition folders of the postings table
 MAX_PARTS = 1024
 
 
@@ -71,19 +70,21 @@ def largest_norm(base: DataFrame) -> float:
 
 
 def train_centroids(
-    base: DataFrame, rows: int, lists: int, metric: str, max_norm: float, seed: int, max_iter: int
+    base: DataFrame, lists: int, metric: str, max_norm: float, seed: int, max_iter: int, fraction: float = 1.0
 ) -> np.ndarray:
-    """Centroids from a seeded sample of at most about 256 rows per list.
+    """Centroids from all rows, or from a seeded sample if ``fraction`` is below 1.
 
     Copies are counted into one weighted point, and there are no more centroids
     than distinct points: the trainer needs its starting points to differ.
     """
-    sample = base.select("v")
-    share = SAMPLE_PER_LIST * lists / rows
-    if share < 1:
-        sample = sample.sample(share, seed=seed)
+    if not 0 < fraction <= 1:
+        raise ValueError(f"train_fraction must be above 0 and at most 1, not {fraction}")
+    chosen = base.select("v")
+    if fraction < 1:
+        drawn = chosen.sample(fraction, seed=seed)
+        chosen = chosen if drawn.isEmpty() else drawn
     points = (
-        sample.mapInArrow(kernels.to_cell_space(metric, max_norm), "point array<double>")
+        chosen.mapInArrow(kernels.to_cell_space(metric, max_norm), "point array<double>")
         .groupBy("point").agg(F.count("*").cast("double").alias("weight"))
         .select(array_to_vector("point").alias("features"), "weight")
         .persist()
@@ -138,9 +139,14 @@ def ivf_build(
     id_col: str = "id",
     vec_col: str = "v",
     max_iter: int = 10,
+    train_fraction: float = 1.0,
     location: str | None = None,
 ) -> IvfIndex:
-    """Cluster the base into at most ``lists`` cells and write the index tables."""
+    """Cluster the base into at most ``lists`` cells and write the index tables.
+
+    Centroids are fitted on all rows, by distributed passes; ``train_fraction``
+    below 1 fits them on a sample.
+    """
     kernels.check_metric(metric)
     spark = base.sparkSession
     size = knn.base_stats(base, vec_col)
@@ -152,7 +158,7 @@ def ivf_build(
     max_norm = 0.0
     if metric == "ip":
         max_norm = largest_norm(base)
-    found = train_centroids(base, size.rows, lists, metric, max_norm, seed, max_iter)
+    found = train_centroids(base, lists, metric, max_norm, seed, max_iter, train_fraction)
     centroids = (np.arange(len(found), dtype=np.int32), found)
     index = IvfIndex(name, metric, size.dim, len(found), max_norm)
 
