@@ -28,6 +28,8 @@ SEARCH_SHARE = 0.09
 #: A leaf is scored in parts of about so many rows and so many queries.
 PART_ROWS = 4096
 PART_QUERIES = 2048
+#: The first leaves of a walk give each query a lower bound of its k-th score; the others emit only what reaches it.
+FIRST_LEAVES = 8
 
 
 @dataclass(frozen=True)
@@ -189,20 +191,40 @@ def nearest(
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                q, who, tree, leaf = _matrix(batch.column(1)), [], [], []
+                q, who, tree, leaf, turn = _matrix(batch.column(1)), [], [], [], []
                 lifted = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
                 for i, x in enumerate(lifted):
-                    for t, f in walk(forest, x, held, wanted):
-                        who.append(i), tree.append(t), leaf.append(f)
+                    for nth, (t, f) in enumerate(walk(forest, x, held, wanted)):
+                        who.append(i), tree.append(t), leaf.append(f), turn.append(nth)
                 taken = batch.column(0).take(pa.array(who, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken, pa.array(tree, pa.int32()), pa.array(leaf, pa.int32())], ["query_id", "tree", "leaf"])
+                yield pa.RecordBatch.from_arrays([taken, pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32())], ["query_id", "tree", "leaf", "turn"])
 
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    visits = write_step(queries.mapInArrow(visit, "query_id long, tree int, leaf int"), "visits")
+    visits = write_step(queries.mapInArrow(visit, "query_id long, tree int, leaf int, turn int"), "visits")
     return _answers(placed, queries, visits, k)
 
 
 def _answers(placed: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    none = F.lit(float("-inf"))
+    first = write_step(_ranked(placed, queries.withColumn("bound", none), visits.where(F.col("turn") < FIRST_LEAVES), k), "first")
+    bounds = _best(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    bounded = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", none))
+    return _best(first.unionByName(_ranked(placed, bounded, visits.where(F.col("turn") >= FIRST_LEAVES), k)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (
+        found.groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _ranked(placed: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: of each visited leaf part the best ``k`` for a query that reach its bound."""
     posted = placed.select("vec_id", "v", F.posexplode("leaves").alias("tree", "leaf"))
     parts = posted.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     asked = visits.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / PART_QUERIES).alias("shares"))
@@ -219,7 +241,7 @@ def _answers(placed: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -
         .join(cuts, ["tree", "leaf"])
         .withColumn("share", F.pmod(F.xxhash64("query_id"), "shares").cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(*key, "query_id", "q")
+        .select(*key, "query_id", "q", "bound")
     )
 
     def rank(points: pa.Table, asked: pa.Table) -> pa.Table:
@@ -229,14 +251,14 @@ def _answers(placed: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -
             points = points.sort_by("vec_id")
             ids = points["vec_id"].to_numpy()
             base = _matrix(points["v"].combine_chunks())
-            who, q = asked["query_id"].to_numpy(), _matrix(asked["q"].combine_chunks())
+            who, q, least = asked["query_id"].to_numpy(), _matrix(asked["q"].combine_chunks()), asked["bound"].to_numpy()
             reach = np.sqrt((base * base).sum(1).max())
             for at in range(0, len(q), 256):
                 block = q[at : at + 256]
                 rough = block @ base.T
                 rough[who[at : at + 256, None] == ids[None, :]] = -np.inf
                 kept = min(k, len(ids))
-                bound = np.partition(rough, len(ids) - kept, axis=1)[:, len(ids) - kept]
+                bound = np.maximum(np.partition(rough, len(ids) - kept, axis=1)[:, len(ids) - kept], least[at : at + 256])
                 slack = 1e-12 * reach * np.sqrt((block * block).sum(1))  # far above the product's rounding
                 i, j = np.nonzero((rough >= (bound - slack)[:, None]) & np.isfinite(rough))
                 exact = (block[i] * base[j]).sum(1)
@@ -247,12 +269,4 @@ def _answers(placed: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -
                 out_q.append(who[at + i[best]]), out_v.append(ids[j[best]]), out_s.append(exact[best])
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, "query_id long, vec_id long, score double")
