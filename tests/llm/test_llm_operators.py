@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,35 @@ def test_ann_recall_and_exactness(spark):
     assert ann.nearest(vectors.limit(0)).count() == 0 and ann.nearest(vectors.where("vec_id in (20, 21)")).count() == 1
 
 
+def spread_vectors(kind, n):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, 64))
+    if kind == "clusters":
+        return rng.standard_normal((60, 64))[rng.integers(0, 60, n)] + 0.3 * x
+    if kind == "gaussian":
+        return x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x if kind == "unit" else x * rng.lognormal(0, 1, n)[:, None]
+
+
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "lengths", "clusters"])
+def test_ann_recall_with_production_parameters(spark, kind):
+    x = spread_vectors(kind, 14_000)
+    ids = pa.array(np.arange(len(x)))
+    values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 64), pa.array(x.ravel()))
+    vectors = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": values})).repartition(4)
+    found = collections.defaultdict(set)
+    for r in ann.nearest(vectors).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    print(kind, np.mean(recall))
+    assert np.mean(recall) >= 0.9
+
+
 def test_calibration_of_separable_examples_stays_finite():
     x = np.r_[np.full((200, 3), -1.0), np.full((300, 3), 1.0)] + np.random.default_rng(2).normal(0, 0.01, (500, 3))
     y = np.r_[np.zeros(200), np.ones(300)]

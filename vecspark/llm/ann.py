@@ -4,6 +4,8 @@ A forest of trees splits space by hyperplanes between random points. A query
 walks all trees from one shared priority queue, nearest side first, until it has
 enough candidates; those are ranked by exact inner product. Inner products become
 distances on a sphere by one more coordinate, which brings all vectors to one length.
+How many are enough is fitted to the recall of some queries whose exact answers are
+sought first; where a walk would count every vector, one tree is read whole instead.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ TREES = 10
 #: The forest's hyperplanes are fitted on at most so many vectors; every vector is indexed.
 SAMPLE_ROWS = 50_000
 LEAF_ROWS = 1024
-#: Share of each tree's vectors that a query looks at, counted over all trees together. Vectors without any
-#: clusters need this much for a recall of 0.9; clustered ones far less.
+#: Least share of each tree's vectors that a query looks at, counted over all trees together. Many vectors of one
+#: length without any clusters need this much for a recall of 0.9, clustered ones far less; lengths that differ
+#: and small tables need more.
 SEARCH_SHARE = 0.09
+#: The mean recall of so many queries less three standard errors must reach this.
+RECALL = 0.9
+FIT_QUERIES = 256
 #: A leaf is scored in parts of about so many rows and so many queries.
 PART_ROWS = 4096
 PART_QUERIES = 2048
@@ -122,6 +128,24 @@ def walk(forest: Forest, q: np.ndarray, held: list[np.ndarray], wanted: int) ->
     return out
 
 
+def counted_before(forest: Forest, q: np.ndarray, held: list[np.ndarray], leaves: np.ndarray) -> np.ndarray:
+    """For vectors with these ``leaves`` (one per tree): what a walk has counted when it comes to the first of them."""
+    before, got = [np.zeros(len(x), np.int64) for x in held], 0
+    for t, leaf in walk(forest, q, held, 1 + sum(int(x.sum()) for x in held)):
+        before[t][leaf] = got
+        got += int(held[t][leaf])
+    return np.min([before[t][leaves[:, t]] for t in range(len(held))], axis=0)
+
+
+def enough(counted: list[np.ndarray], recall: float) -> int:
+    """The least count at which the mean share found, less three standard errors, is ``recall``."""
+    for wanted in np.unique(np.concatenate(counted)) + 1:
+        shares = np.array([(x < wanted).mean() for x in counted])
+        if shares.mean() - 3 * shares.std() / np.sqrt(len(shares)) >= recall:
+            break
+    return int(wanted)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``(vec_id, v array<double>)`` without vectors that are null, empty, zero or not finite throughout."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -142,6 +166,7 @@ def nearest(
     share: float = SEARCH_SHARE,
     leaf_rows: int = LEAF_ROWS,
     sample: int = SAMPLE_ROWS,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row with ``vec_id % every = 0`` its ``k`` nearest others.
 
@@ -154,6 +179,9 @@ def nearest(
     Of equal vectors only the ``k + 1`` with the smallest ids can be among the answers, so only they
     are indexed. Leaves are joined with the queries that visit them in parts of bounded size; each part gives its
     best ``k`` per query, and a window keeps the best of all.
+
+    A query looks at ``share`` of each tree, at 50 ``k`` vectors per tree at least, and at more where
+    ``recall`` needs it. As soon as that would be as many as there are vectors, the answers are exact.
     """
     ship_package(vectors.sparkSession)
     rows = write_step(usable(vectors).dropDuplicates(["vec_id"]).withColumn("key", F.xxhash64("v")), "vectors")
@@ -184,7 +212,13 @@ def nearest(
     held = [np.zeros(m, np.int64) for m in forest.leaves]
     for r in sizes:
         held[r["tree"]][r["leaf"]] = r["count"]
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     wanted = int(max(50 * k * trees, share * n * trees))
+    if wanted < n:
+        wanted = max(wanted, _fitted(placed, queries, forest, held, k, recall))
+    if wanted >= n:  # every vector is in each tree, so one is read whole
+        wanted, forest = n, Forest(forest.trees[:1], forest.leaves[:1], forest.longest)
+        shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
@@ -192,18 +226,36 @@ def nearest(
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 q, who, tree, leaf, turn = _matrix(batch.column(1)), [], [], [], []
-                lifted = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
-                for i, x in enumerate(lifted):
+                for i, x in enumerate(_directions(q)):
                     for nth, (t, f) in enumerate(walk(forest, x, held, wanted)):
                         who.append(i), tree.append(t), leaf.append(f), turn.append(nth)
                 taken = batch.column(0).take(pa.array(who, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32())], ["query_id", "tree", "leaf", "turn"])
 
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     visits = write_step(queries.mapInArrow(visit, "query_id long, tree int, leaf int, turn int"), "visits")
     return _answers(placed, queries, visits, k)
 
 
+def _directions(q: np.ndarray) -> np.ndarray:
+    return np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
+
+
+def _fitted(placed: DataFrame, queries: DataFrame, forest: Forest, held: list[np.ndarray], k: int, recall: float) -> int:
+    """How many vectors a walk must count for ``recall``, by the exact answers of ``FIT_QUERIES`` queries."""
+    some = write_step(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(FIT_QUERIES), "some")
+    whole = some.select("query_id", F.lit(0).alias("tree"), F.explode(F.sequence(F.lit(0), F.lit(forest.leaves[0] - 1))).alias("leaf"))
+    best = _best(_ranked(placed, some.withColumn("bound", F.lit(float("-inf"))), whole, k), k)
+    answers = write_step(best.select("query_id", "vec_id"), "exact")
+    found: dict[int, list] = {}
+    for r in placed.select("vec_id", "leaves").join(F.broadcast(answers), "vec_id").select("query_id", "leaves").collect():  # k per query
+        found.setdefault(r["query_id"], []).append(r["leaves"])
+    asked = [r for r in some.collect() if r["query_id"] in found]
+    if not asked:
+        return 0
+    directions = _directions(np.array([r["q"] for r in asked]))
+    return enough([counted_before(forest, x, held, np.array(found[r["query_id"]])) for r, x in zip(asked, directions)], recall)
+
+
 def _answers(placed: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     none = F.lit(float("-inf"))
     first = write_step(_ranked(placed, queries.withColumn("bound", none), visits.where(F.col("turn") < FIRST_LEAVES), k), "first")
