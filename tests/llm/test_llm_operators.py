@@ -83,6 +83,17 @@ def test_near_duplicates_edges(spark):
     assert sorted(tuple(r)[:3] for r in several) == [(-3, 2, -3), (7, 2, -3), (7, 2, 7), (8, 2, 7)]
 
 
+def test_deduplicate_decides_by_text(spark):
+    rows = [(7, "a b c"), (7, "d e f"), (7, "d e f"), (8, "d e f"), (-3, "a b c"), (9, "x y z"), (9, "x y z"), (5, "p q"), (5, "P Q"), (None, "a b c"), (None, "a b c")]
+    docs = documents(spark, rows)
+    kept = neardup.deduplicate(docs, 2)
+    found = collections.Counter((r["doc_id"], r["text"].lower()) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert found == {(-3, "a b c"): 1, (7, "d e f"): 1, (9, "x y z"): 1, (5, "p q"): 1, (None, "a b c"): 2}
+    plain = neardup.deduplicate(documents(spark, [(1, "a b c"), (2, "a b c"), (None, "a b c")]), 2).collect()
+    assert sorted((r["doc_id"] or 0) for r in plain) == [0, 1]
+
+
 # -------------------------------------------------------------- exact repeats
 
 
@@ -168,6 +179,18 @@ def test_mix_with_prior(spark):
     assert high == pytest.approx(min(3.0, 4 * low), rel=1e-6)
 
 
+def test_apply_mix_gives_repeated_rows_all_their_copies(spark):
+    rows = [(1, "w w w", "en", "a")] * 300 + [(None, "w w", "en", "b")] * 200 + [(1, "w w w", "en", "b")] * 2
+    rows += [(i, "v " * (i % 9 + 1), "en", "c" if i % 3 else "b") for i in range(10, 150)]
+    docs = documents(spark, rows)
+    wanted, found = collections.Counter(), collections.Counter()
+    for r in mixing.mix(docs).collect():
+        wanted[r["source"]] += r["taken"]
+    for r in mixing.apply_mix(docs).collect():
+        found[r["source"]] += len(r["text"].split())
+    assert found == wanted and min(wanted.values()) > 0
+
+
 # ------------------------------------------------------------------------ chat
 
 

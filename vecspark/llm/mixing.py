@@ -189,15 +189,22 @@ def _closing(rounded: DataFrame, cap: int) -> DataFrame:
 def apply_mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that repeat both id and text share the copies their group got, rounded down.
+    Of rows that repeat id, text and source one stands for all, with the copies of all.
     """
     names = docs.columns
-    copies = (
+    copies = write_step(
         mix(docs, cap)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("__copies"))
-        .where("__copies > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__copies")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"))
+        .agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+        .where("__copies > 0"),
+        "copies",
     )
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]) & (F.xxhash64(docs["text"]) == copies["__hash"]))
+
+    def taken(part: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(part["__id"]) & docs["source"].eqNullSafe(part["__source"])
+        return docs.join(part, same & (F.xxhash64(docs["text"]) == part["__hash"]))
+
+    joined, repeated = taken(copies.where("__rows = 1")), copies.where("__rows > 1")
+    if not repeated.isEmpty():
+        joined = joined.unionByName(taken(repeated).dropDuplicates(["__id", "__hash", "__source"]))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
