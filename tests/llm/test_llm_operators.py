@@ -270,6 +270,13 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.find_contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_finds_every_item_of_one_shingle(spark):
+    starts, rests = sentences(14, 4000, 5, 10**6), sentences(15, 4000, 20, 10**6)
+    benchmark = spark.createDataFrame(list(enumerate(starts)), "item_id long, text string")
+    found = decontamination.find_contamination(documents(spark, [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(starts, rests))]), benchmark)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(i, i) for i in range(4000)]
+
+
 # ------------------------------------------------------------------------- pii
 
 

@@ -23,7 +23,8 @@ WIDTH = 5
 CONTAINMENT = 0.8
 #: A window holds at least 0.25 of its content from a found item, so 64 coordinates miss one in 10^8.
 COORDINATES = 64
-SMALLEST = 8
+#: The smallest class has items of one or two shingles, read in windows of three.
+SMALLEST = 2
 #: Items are searched in blocks of at most so many shingles (8 bytes each, and as many again for the coordinates).
 BLOCK_SHINGLES = 500_000
 
