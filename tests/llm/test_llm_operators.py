@@ -299,6 +299,17 @@ def test_pii_keeps_formats(spark):
     assert pii.pseudonymise_documents(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("number", ["AT611904300234573201", "BE68 5390 0754 7034", "DE89370400440532013000", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("around", ["{}", "{} BIC", "{} EUR", "{} ABCD EFGH IJ", "AB12 3456 7890 {} PLN", "{} ABC@example.com", "{} PL61 1090 1014 0000 0712 1981 2874 USD"])
+def test_pii_ibans_end_where_they_are_valid(number, around):
+    new, counts = pii.pseudonymise(around.format(number), pii.Permuter(b"k"))
+    alone, _ = pii.pseudonymise(number, pii.Permuter(b"k"))
+    assert alone != number and pii.iban_number(alone.replace(" ", "")) % 97 == 1
+    assert counts["iban"] == around.count("PL6") + 1 and alone in new and number not in new
+    assert "1090 1014" not in new and new.count(" ") == around.format(number).count(" ")
+    assert all(w in new for w in ("BIC", "EUR", "ABCD EFGH IJ", "AB12 3456 7890", "PLN", "USD") if w in around)
+
+
 # --------------------------------------------------- quality and language models
 
 

@@ -184,6 +184,28 @@ _patterns = [(kind, re.compile(pattern, re.ASCII), rule) for kind, pattern, rule
 _worth = re.compile(r"@|\d[ .()/-]*\d", re.ASCII)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _ends(kind: str, m: re.Match) -> list[int]:
+    """Where a candidate may end: an IBAN's pattern may take words that follow the number, so its country's length comes first."""
+    text, ends = m.group() + " ", [m.end()]
+    if kind == "iban":
+        length = IBAN_LENGTHS.get(text[:2])
+        ends = [m.start() + i for i, c in enumerate(text) if c == " " and i - text.count(" ", 0, i) == length] + ends
+    return list(dict.fromkeys(ends))
+
+
 def pseudonymise(text: str, permuter: Permuter) -> tuple[str, dict[str, int]]:
     """The text with its values replaced, and how many of each kind."""
     counts: dict[str, int] = {}
@@ -191,19 +213,28 @@ def pseudonymise(text: str, permuter: Permuter) -> tuple[str, dict[str, int]]:
         return text, counts
     spans: list[tuple[int, int, str]] = []
     for kind, pattern, rule in _patterns:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in spans):
-                continue
-            known = permuter.known.get((kind, m.group()))
-            if known is None:
-                known = rule(permuter, m.group())
-                if known is None:
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
+            for end in _ends(kind, m):
+                if any(a < end and m.start() < b for a, b, _ in spans):
                     continue
-                if len(permuter.known) > 100_000:
-                    permuter.known.clear()
-                permuter.known[kind, m.group()] = known
-            spans.append((m.start(), m.end(), known))
-            counts[kind] = counts.get(kind, 0) + 1
+                value = text[m.start() : end]
+                known = permuter.known.get((kind, value))
+                if known is None:
+                    known = rule(permuter, value)
+                    if known is None:
+                        continue
+                    if len(permuter.known) > 100_000:
+                        permuter.known.clear()
+                    permuter.known[kind, value] = known
+                spans.append((m.start(), end, known))
+                counts[kind] = counts.get(kind, 0) + 1
+                at = end
+                break
+            else:
+                if kind == "iban":  # another may begin within
+                    at = m.start() + 1
     if not spans:
         return text, counts
     out, at = [], 0
