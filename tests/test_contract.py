@@ -13,8 +13,14 @@ FAST = [
 FOLDER = contract.SMOKE_DIR
 
 
+def own(entries):
+    """The entries of the search operators; those of the training data have tests of their own."""
+    extra = contract.training_data.queries() if contract.training_data else {}
+    return {name: entry for name, entry in entries.items() if name not in extra}
+
+
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(own(contract.oracle_sql())) == set(own(contract.queries()))
 
 
 def test_entry(spark):
@@ -34,6 +40,6 @@ def test_sql_runs_on_an_empty_table():
     db = duckdb.connect()
     db.execute("CREATE VIEW embeddings AS SELECT * FROM '%s/embeddings.parquet' WHERE false" % FOLDER)
     db.execute("CREATE VIEW events AS SELECT * FROM '%s/events.parquet' WHERE false" % FOLDER)
-    for name, sql in contract.oracle_sql().items():
+    for name, sql in own(contract.oracle_sql()).items():
         db.execute(sql).fetchall()
         assert not re.search(r"vec_id\s*<|LIMIT\s+\d{2,}0", sql), name
