@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecspark.llm import ann, chat, decontamination, language, mixing, neardup, packing, pii, quality, repeats
+from vecspark.llm import (
+    ann, centroids, chat, decontamination, importance, language, mixing, neardup, packing, pii, quality, repeats, warc,
+)
 from vecspark.llm.support import table
+from vecspark.session import scratch_path
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.page_records(warc.read_archives(spark, folder))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +87,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_minhash_near_dedup, op3_nearest_neighbours, op4_source_mixing, op5_chat_formatting,
-        op6_packed_tokens, op7_decontamination, op8_pii_pseudonyms, op9_language_id, op10_substring_dedup, pipeline,
+        op6_packed_tokens, op7_decontamination, op8_pii_pseudonyms, op9_language_id, op10_substring_dedup, op11_warc,
+        op12_importance_resampling, op13_centroid_clustering, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -79,6 +97,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_formatting": OP5,
         "op7_decontamination": OP7,
+        "op11_warc": OP11,
+        "op12_importance_resampling": OP12,
+        "op13_centroid_clustering": OP13,
     }
 
 
@@ -117,3 +138,94 @@ s AS (SELECT doc_id, item_id, count(*)::INTEGER AS n_shared FROM d JOIN i USING
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment
 FROM s JOIN n USING (item_id) WHERE 10 * n_shared >= 8 * n_item
 """
+
+OP11 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), t AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS target FROM p
+), r AS (
+    SELECT *, target IS NOT NULL AND (page_id IS NULL OR target <> page_id) AS again FROM t
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN target END AS refers_to
+FROM r
+"""
+
+# The CRC of a word, bit by bit: eight shifts for each byte of its UTF-8 form.
+OP12 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), dw AS (SELECT r, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b),
+names AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+crc AS (
+    SELECT word, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+        lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, (v & 1) * 3988292384::BIGINT))
+    ), 4294967295::BIGINT) % 10000 AS bucket FROM names
+), s AS (SELECT bucket, count(*) AS n FROM dw JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN crc USING (word) GROUP BY bucket),
+gain AS (
+    SELECT k.bucket, floor(1000 * ln(
+        (coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+        / ((coalesce(s.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain
+    FROM (SELECT unnest(range(10000)) AS bucket) k LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), sums AS (SELECT r, sum(gain) AS total FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY r),
+weighed AS (
+    SELECT doc_id, len(w)::BIGINT AS n_features,
+        CASE WHEN len(w) = 0 THEN 0 ELSE ((total - ((total % len(w)) + len(w)) % len(w)) // len(w))::BIGINT END AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM d LEFT JOIN sums USING (r)
+), scored AS (
+    SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS able
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (10 * able) // 100 THEN place END AS rank FROM ranked
+"""
+
+
+def _op13() -> str:
+    """The rounds written out, one after the other."""
+    steps = [
+        """e AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+)""",
+        """c0 AS (
+    SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS cluster, v FROM (
+        SELECT v, sha256('1:' || vec_id) AS h FROM e ORDER BY h NULLS LAST, v LIMIT 16)
+)""",
+    ]
+    for i in range(4):
+        steps.append(
+            f"""a{i} AS (
+    SELECT r, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i])))::BIGINT, c := c.cluster)) AS best
+    FROM e, c{i} c GROUP BY r
+)"""
+        )
+        if i < 3:
+            steps.append(
+                f"""m{i} AS (
+    SELECT cluster, list(x ORDER BY place) AS v FROM (
+        SELECT best.c AS cluster, place, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+        FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS place FROM a{i} JOIN e USING (r)) GROUP BY best.c, place)
+    GROUP BY cluster
+), c{i + 1} AS (SELECT cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))"""
+            )
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN e USING (r) JOIN c3 ON c3.cluster = best.c
+"""
+
+
+OP13 = _op13()
