@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -191,6 +192,24 @@ def test_apply_mix_gives_repeated_rows_all_their_copies(spark):
     assert found == wanted and min(wanted.values()) > 0
 
 
+@pytest.mark.parametrize("salts, run_rows", [(1, 100_000), (1, 7), (64, 100_000)])
+def test_apply_mix_takes_each_document_as_mix_says(spark, monkeypatch, salts, run_rows):
+    monkeypatch.setattr(mixing, "SALTS", salts)
+    monkeypatch.setattr(mixing, "RUN_ROWS", run_rows)
+    rng = np.random.default_rng(8)
+    rows = [(i, f"t{i} " * int(n), "en", "abc"[min(i % 6, 2)]) for i, n in enumerate(rng.integers(0, 90, 700))]
+    docs = documents(spark, rows)
+    wanted = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
+    found = collections.Counter(r["doc_id"] for r in mixing.apply_mix(docs).collect())
+    assert found == wanted and set(found.values()) >= {1, 2}
+
+
+def test_apply_mix_shuffles_no_texts(spark):
+    docs = documents(spark, [(i, f"t{i} " * (i % 40), "en", "abc"[i % 3]) for i in range(200)])
+    plan = mixing.apply_mix(docs.select("doc_id", "text", "source"))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "REPARTITION_BY_NUM" not in line]
+
+
 # ------------------------------------------------------------------------ chat
 
 
@@ -286,17 +305,74 @@ def test_permutations_are_one_to_one():
         assert sorted(p.permute("x", i, n) for i in range(n)) == list(range(n))
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 30, 47, 63, 64, 65, 128, 230, 300])
+def test_pii_names_of_any_length(length):
+    p, rng = pii.Permuter(b"k"), np.random.default_rng(length)
+    names = {"".join(rng.choice(list("abcxyz"), length)) for _ in range(30)}
+    if length > 2:
+        names |= {"." + n[1:-1] + "%" for n in list(names)[:5]}
+    new = {n: p.name("mail", n) for n in names}
+    assert len(set(new.values())) == len(names)
+    for old, name in new.items():
+        assert len(name) == length and all(a == b if not a.isalnum() else "a" <= b <= "z" for a, b in zip(old, name))
+    if length >= 64:  # every part of a long name changes
+        assert all(sum(a != b for a, b in zip(o[:20], n[:20])) > 5 for o, n in new.items())
+        assert all(sum(a != b for a, b in zip(o[-20:], n[-20:])) > 5 for o, n in new.items())
+
+
+def test_pii_single_letters_are_permuted():
+    p = pii.Permuter(b"k")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    assert sorted(p.name("mail", c) for c in letters) == list(letters)
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("..ab.c@x.org.", ["ab.c@x.org"]), ("a@b@c.de", ["b@c.de"]), ("@x.org a@.org %@x.org", []), ("a@x.org,b-@y-z.co.uk/", ["a@x.org", "b-@y-z.co.uk"]),
+        ("a@x.org@y.org", ["a@x.org"]), ("é1@x.org", ["1@x.org"]), ("a@x", []), ("a@x.o1", []), ("x" * 300 + "@a.bc", ["x" * 300 + "@a.bc"]),
+    ],
+)
+def test_pii_addresses_are_found(text, spans):
+    assert [text[a:b] for a, b in pii.addresses(text)] == spans
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        "abc123XYZ" * 120_000, "a." * 500_000, "a@" * 500_000, "a@b." * 250_000, "1-" * 500_000, "12." * 350_000, "AB12" * 250_000,
+        "1" * 1_000_000, "+1 " * 350_000, "(" * 1_000_000, "x@y.org " * 20_000,
+    ],
+)
+def test_pii_takes_linear_time(block):
+    started = time.time()
+    pii.pseudonymise("see 1.2.3.4 " + block, pii.Permuter(b"k"))
+    assert time.time() - started < 5
+
+
+def test_pii_clashing_names_and_long_texts(spark):
+    rows = [(1, "mail me@x.org " * 40_000), (2, None), (3, ""), (4, "on 2020-01-31"), (4, "on 2020-01-31")]
+    docs = documents(spark, rows).withColumn("n_replaced", F.lit("old")).withColumn("kinds", F.lit(1))
+    found = pii.pseudonymise_documents(docs, "k")
+    assert sorted(found.columns) == sorted(docs.columns)
+    got = collections.defaultdict(list)
+    for r in found.collect():
+        got[r["doc_id"]].append((r["n_replaced"], r["kinds"], r["text"]))
+    assert got[1][0][:2] == (40_000, {"email": 40_000}) and got[2] == [(0, {}, None)] and got[3] == [(0, {}, "")]
+    assert got[4][0] == got[4][1] and got[4][0][1] == {"date_iso": 1}
+
+
 def test_pii_keeps_formats(spark):
     text = "card 4111 1111 1111 1111, 4041894974608795 27.65.93.188 on 1999-12-31 or 31.12.1999 +1 (988) 555-2485 hsr.29@mail5.example.com 123-45-6789"
     clean = "order 1234567890123456 of 999-00-1234 on 2024-02-31 v1.2.3.4.5 and 300.1.1.1"
     rows = [(10, text), (11, f"again {text}"), (12, clean), *EDGE]
-    found = {r["doc_id"]: r for r in pii.pseudonymise_documents(documents(spark, rows)).collect()}
+    found = {r["doc_id"]: r for r in pii.pseudonymise_documents(documents(spark, rows), "key").collect()}
     assert found[10]["n_replaced"] == 8 and found[12]["text"] == clean and found[1]["text"] is None
     assert found[11]["text"] == f"again {found[10]['text']}"
     new = found[10]["text"].split()
     assert not set(new) & {"4041894974608795", "27.65.93.188", "1999-12-31", "hsr.29@mail5.example.com"}
     assert pii.luhn("".join(new[1:5]).rstrip(",")) and pii.luhn(new[5])
-    assert pii.pseudonymise_documents(documents(spark, [])).count() == 0
+    assert pii.pseudonymise_documents(documents(spark, []), "key").count() == 0
 
 
 @pytest.mark.parametrize("number", ["AT611904300234573201", "BE68 5390 0754 7034", "DE89370400440532013000", "NO93 8601 1117 947"])

@@ -7,9 +7,11 @@ is as valid as its original and equal values stay equal in all documents.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, types as T
 from vecspark.llm.support import ship_package
 
 ROUNDS = 10
+#: Longest run of a name that is permuted as one number: the longest legal name of an address.
+NAME_PIECE = 64
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
@@ -55,9 +59,7 @@ class Permuter:
         """Feistel rounds over the pair (value div b, value mod b); values beyond n walk on to the next in range."""
         if n <= 1:
             return value
-        b = int(n**0.5)
-        while b * b < n:
-            b += 1
+        b = math.isqrt(n - 1) + 1
         a = -(-n // b)
         tweak = f"{kind}/{n}/".encode()
         while True:
@@ -93,6 +95,11 @@ class Permuter:
             out.append(c)
         return "".join(reversed(out))
 
+    def name(self, kind: str, text: str) -> str:
+        """Letters and digits of a name of any length, in pieces of at most NAME_PIECE characters."""
+        pieces = [text[i : i + NAME_PIECE] for i in range(0, len(text), NAME_PIECE)]
+        return "".join(self.letters_and_digits(kind if i == 0 else f"{kind}{i}", piece) for i, piece in enumerate(pieces))
+
 
 def _card(p: Permuter, text: str) -> str | None:
     digits = re.sub(r"\D", "", text)
@@ -145,7 +152,7 @@ def _phone(p: Permuter, text: str) -> str | None:
 
 def _mail(p: Permuter, text: str) -> str | None:
     name, _, host = text.rpartition("@")
-    return p.letters_and_digits("mail", name) + "@" + host
+    return p.name("mail", name) + "@" + host
 
 
 def _date(year: int, month: int, day: int) -> Callable[[Permuter, str], str | None]:
@@ -167,9 +174,8 @@ def _date(year: int, month: int, day: int) -> Callable[[Permuter, str], str | No
     return run
 
 
-#: Kinds in order of precedence, with pattern and rule.
+#: Kinds with pattern and rule, in order of precedence; mail addresses, found by ``addresses``, precede them.
 RULES: list[tuple[str, str, Callable[[Permuter, str], str | None]]] = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _mail),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)", _address),
     ("date_iso", r"(?<![\d-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])", _date(0, 1, 2)),
@@ -179,6 +185,9 @@ RULES: list[tuple[str, str, Callable[[Permuter, str], str | None]]] = [
     ("card", r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)", _card),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])", _phone),
 ]
+_in_name = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_host = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*", re.ASCII)
+_top = re.compile(r"[A-Za-z]{2,}", re.ASCII)
 _patterns = [(kind, re.compile(pattern, re.ASCII), rule) for kind, pattern, rule in RULES]
 #: Every value of every kind has a digit followed or preceded by one of these, or an at sign.
 _worth = re.compile(r"@|\d[ .()/-]*\d", re.ASCII)
@@ -197,6 +206,43 @@ IBAN_LENGTHS = {
 }
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses: from each ``@`` the name to its left and the host to its right.
+
+    A name begins with a letter or digit; a host ends with a label that begins with two letters or
+    more, and with these. Every character is read a bounded number of times, however long a run is.
+    """
+    free = 0
+    at = text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > free and text[begin - 1] in _in_name:
+            begin -= 1
+        while begin < at and text[begin] in "._%+-":
+            begin += 1
+        end = _host_end(text, at + 1) if begin < at else None
+        if end is not None:
+            yield begin, end
+            free = end
+        else:
+            free = at + 1
+        at = text.find("@", free)
+
+
+def _host_end(text: str, begin: int) -> int | None:
+    """End of the host that begins here: after the letters that begin its last label with two letters in front."""
+    m = _host.match(text, begin)
+    if m is None:
+        return None
+    dot = text.rfind(".", begin, m.end())
+    while dot > begin:
+        top = _top.match(text, dot + 1, m.end())
+        if top:
+            return top.end()
+        dot = text.rfind(".", begin, dot)
+    return None
+
+
 def _ends(kind: str, m: re.Match) -> list[int]:
     """Where a candidate may end: an IBAN's pattern may take words that follow the number, so its country's length comes first."""
     text, ends = m.group() + " ", [m.end()]
@@ -211,48 +257,68 @@ def pseudonymise(text: str, permuter: Permuter) -> tuple[str, dict[str, int]]:
     counts: dict[str, int] = {}
     if not _worth.search(text):
         return text, counts
-    spans: list[tuple[int, int, str]] = []
+    spans: list[tuple[int, int, str]] = []  # in order and apart from each other
+
+    def taken(a: int, b: int) -> bool:
+        i = bisect.bisect_left(spans, (b,))
+        return i > 0 and spans[i - 1][1] > a
+
+    def replaced(kind: str, value: str, rule: Callable[[Permuter, str], str | None]) -> str | None:
+        known = permuter.known.get((kind, value))
+        if known is None:
+            known = rule(permuter, value)
+            if known is not None:
+                if len(permuter.known) > 100_000:
+                    permuter.known.clear()
+                permuter.known[kind, value] = known
+        return known
+
+    for a, b in addresses(text):
+        spans.append((a, b, replaced("email", text[a:b], _mail)))
+    if spans:
+        counts["email"] = len(spans)
     for kind, pattern, rule in _patterns:
+        fresh = []
         at = 0
         while m := pattern.search(text, at):
             at = m.end()
             for end in _ends(kind, m):
-                if any(a < end and m.start() < b for a, b, _ in spans):
+                if taken(m.start(), end):
                     continue
-                value = text[m.start() : end]
-                known = permuter.known.get((kind, value))
+                known = replaced(kind, text[m.start() : end], rule)
                 if known is None:
-                    known = rule(permuter, value)
-                    if known is None:
-                        continue
-                    if len(permuter.known) > 100_000:
-                        permuter.known.clear()
-                    permuter.known[kind, value] = known
-                spans.append((m.start(), end, known))
-                counts[kind] = counts.get(kind, 0) + 1
+                    continue
+                fresh.append((m.start(), end, known))
                 at = end
                 break
             else:
                 if kind == "iban":  # another may begin within
                     at = m.start() + 1
+        if fresh:
+            counts[kind] = len(fresh)
+            spans = sorted(spans + fresh)
     if not spans:
         return text, counts
     out, at = [], 0
-    for a, b, new in sorted(spans):
+    for a, b, new in spans:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), counts
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = "key of this corpus") -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
     """The columns of ``docs`` with ``text`` replaced, and ``n_replaced`` and ``kinds`` (map of counts) added.
 
+    Whoever knows ``key`` can undo the mapping, so it is for the caller to choose and to keep. Columns of ``docs`` with
+    the names of the added ones are replaced by them. Rows are independent; repeated ones give equal results.
+
     A null text stays null, an empty one empty. A value is replaced only if it is
     valid in its format; everything else in a text is left as it is. The mapping is
     one to one within a format and depends on ``key`` alone; a value may in rare
     cases (one in the size of its format) map to itself.
     """
     ship_package(docs.sparkSession)
+    docs = docs.drop("n_replaced", "kinds")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
