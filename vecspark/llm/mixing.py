@@ -4,18 +4,23 @@ Every document gets a rate ``min(cap, prior * exp(tilt of its source))``: of all
 rates that meet the word targets of the sources, these are the nearest to the
 prior in relative entropy, taken over words. The tilts are the solution of a
 convex dual, which Newton steps over the whole size table find. Rates become whole
-copies by systematic rounding; a last exchange of few documents per source
-closes the gap that rounding leaves.
+copies run by run: a run is the documents of a source, a size class and a share
+of the hashes, its number of extra copies is rounded from a running sum over the
+runs, and the documents with the smallest hashes get them. A last exchange of few documents
+per source closes the gap that rounding leaves. So a document's copies follow from its own hash and
+a small table of runs, and texts need not be shuffled to be repeated or left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from vecspark.llm.support import write_step
+from vecspark.llm.support import BROADCAST_IDS, write_step
 
-#: Documents of a source and size class are cut by hash into so many runs for rounding.
+#: Documents of a source and size class are cut by hash into so many runs for rounding, and into
+#: more where all documents divided among them would be more than RUN_ROWS.
 SALTS = 64
+RUN_ROWS = 100_000
 TOLERANCE = 1e-9
 #: Newton steps; each changes a tilt by at most 2, so this covers rates from exp(-100).
 STEPS = 60
@@ -100,6 +105,26 @@ def mix(docs: DataFrame, cap: float = 3.0, prior: Column | None = None) -> DataF
     agree; of repeated rows with one id any may be the one with the extra copy.
     An empty table gives an empty result.
     """
+    return _mixed(docs, cap, prior)[0].select(
+        "doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+def _keys(rows: DataFrame, salts: int) -> DataFrame:
+    """Add ``class``, ``order``, ``salt`` and ``chance`` (above 0, at most 1), which follow from id, size and text_hash."""
+    order = F.xxhash64("doc_id", "size", "text_hash")
+    return rows.select(
+        "*",
+        F.when(F.col("size") > 0, F.floor(2 * F.log2(F.col("size")))).otherwise(-1).alias("class"),
+        order.alias("order"),
+        F.pmod(order, F.lit(salts)).alias("salt"),
+        ((F.shiftrightunsigned(order, 11) + 1) / float(1 << 53)).alias("chance"),
+    )
+
+
+def _mixed(docs: DataFrame, cap: float, prior: Column | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The documents with their copies, the table of runs, the exchanges by row and the number of salts."""
     sized = write_step(
         docs.select(
             F.col("doc_id"),
@@ -110,44 +135,39 @@ def mix(docs: DataFrame, cap: float = 3.0, prior: Column | None = None) -> DataF
         ).withColumn("row", F.monotonically_increasing_id()),
         "sizes",
     )
+    salts = max(SALTS, -(-sized.count() // RUN_ROWS))
     tilts = solve_tilts(sized, source_targets(sized, cap), cap).withColumnRenamed("source", "of")
     rated = sized.join(tilts, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", _rate(cap))
-    shuffled = F.xxhash64("doc_id", "size", "text_hash")
-    parted = rated.select(
-        "row", "doc_id", "source", "text_hash", "size", "source_size", "target", "rate",
-        F.when(F.col("size") > 0, F.floor(2 * F.log2(F.col("size")))).otherwise(-1).alias("class"),
-        shuffled.alias("order"),
-        F.pmod(shuffled, F.lit(SALTS)).alias("salt"),
-        F.floor("rate").alias("whole"),
+    parted = _keys(rated, salts).select(
+        "row", "doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "class", "order", "salt", "chance",
         F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("part"),
     )
-    # systematic rounding: the running sum of fractions over a source, large documents first
-    runs = parted.groupBy("source", "class", "salt").agg(F.sum("part").alias("parts"))
+    # the number of extra copies: a running sum of fractions over a source, large documents first
+    runs = parted.groupBy("source", "class", "salt").agg(F.sum("part").alias("parts"), F.max("rate").alias("run_rate"))
     before = W.partitionBy("source").orderBy(F.col("class").desc(), "salt").rowsBetween(W.unboundedPreceding, -1)
+    half = F.coalesce(F.sum("parts").over(before), F.lit(0.0)) + 0.5
     runs = runs.select(
-        F.col("source").alias("of"), F.col("class").alias("of_class"), F.col("salt").alias("of_salt"),
-        F.coalesce(F.sum("parts").over(before), F.lit(0.0)).alias("before"),
+        F.col("source").alias("of"), F.col("class").alias("of_class"), F.col("salt").alias("of_salt"), "run_rate",
+        (F.floor(half + F.col("parts")) - F.floor(half)).alias("extra"),
     )
-    within = W.partitionBy("source", "class", "salt").orderBy("order", "row").rowsBetween(W.unboundedPreceding, 0)
-    reached = F.col("before") + F.sum("part").over(within) + 0.5
+    within = W.partitionBy("source", "class", "salt").orderBy(F.try_divide("chance", "part").asc_nulls_last(), "order", "row")
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")) & (F.col("salt") == F.col("of_salt"))
+    placed = parted.withColumn("place", F.row_number().over(within)).join(runs, same)
+    copies = F.floor("rate") + ((F.col("place") <= F.col("extra")) & (F.col("part") > 0)).cast("long")
     rounded = write_step(
-        parted.join(
-            runs,
-            F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")) & (F.col("salt") == F.col("of_salt")),
-        )
-        .withColumn("copies", (F.col("whole") + F.floor(reached) - F.floor(reached - F.col("part"))).cast("long"))
-        .withColumn("copies", F.when(F.col("size") > 0, F.least("copies", F.lit(int(cap)))).otherwise(0))
-        .select("row", "doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "class", "order", "copies"),
+        placed.withColumn("copies", F.when(F.col("size") > 0, F.least(copies, F.lit(int(cap)))).otherwise(0).cast("long")).select(
+            "row", "doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "class", "order", "salt", "chance",
+            "place", "extra", "copies",
+        ),
         "rounded",
-    )
-    swaps = _closing(rounded, int(cap))
+    )
+    swaps = write_step(_closing(rounded, int(cap)), "swaps")
     changed = rounded.join(swaps, "row", "left").withColumn(
         "copies", F.col("copies") + F.coalesce("change", F.lit(0).cast("long"))
     )
-    return changed.select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-    )
+    last = F.max(F.when(F.col("place") <= F.col("extra"), F.struct("chance", "order"))).alias("last")
+    thresholds = rounded.where("size > 0").groupBy("source", "class", "salt").agg(F.max("rate").alias("run_rate"), last)
+    return changed, thresholds, swaps, salts
 
 
 def _closing(rounded: DataFrame, cap: int) -> DataFrame:
@@ -186,25 +206,47 @@ def _closing(rounded: DataFrame, cap: int) -> DataFrame:
     )
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """Written and, if its counted rows allow it, broadcast."""
+    written = write_step(df, "bounded")
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
 def apply_mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Of rows that repeat id, text and source one stands for all, with the copies of all.
+    A scan of ``docs`` decides for itself: a document has the copies of its run, and one more if its
+    hash is not above the last that the run gave an extra copy. Rows of the exchange and rows that repeat id, text and source are looked
+    up. Of the latter one stands for all, with the copies of all.
     """
     names = docs.columns
-    copies = write_step(
-        mix(docs, cap)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"))
-        .agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
-        .where("__copies > 0"),
-        "copies",
+    mixed, runs, swaps, salts = _mixed(docs, cap, None)
+    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")]
+    repeated = (
+        mixed.groupBy(*key).agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")).where("__rows > 1").drop("__rows")
     )
+    repeated = _bounded(repeated)
+    changes = _bounded(mixed.join(swaps.select("row"), "row").select(*key, F.col("change").alias("__change")))
+    runs = _bounded(runs.select(*[F.col(c).alias(f"__{c}") for c in runs.columns]))
 
-    def taken(part: DataFrame) -> DataFrame:
-        same = docs["doc_id"].eqNullSafe(part["__id"]) & docs["source"].eqNullSafe(part["__source"])
-        return docs.join(part, same & (F.xxhash64(docs["text"]) == part["__hash"]))
-
-    joined, repeated = taken(copies.where("__rows = 1")), copies.where("__rows > 1")
+    keyed = docs.select(
+        F.struct(*names).alias("__doc"), "doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count().alias("size")
+    )
+    keyed = _keys(keyed, salts).where("size > 0")
+    of_run = keyed["source"].eqNullSafe(runs["__source"]) & (keyed["class"] == runs["__class"]) & (keyed["salt"] == runs["__salt"])
+
+    def matched(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(other["__id"]) & rows["source"].eqNullSafe(other["__source"])
+        return rows.join(other, same & (rows["text_hash"] == other["__hash"]), how)
+
+    extra = F.coalesce(F.struct("chance", "order") <= F.col("__last"), F.lit(False)) & (F.col("__run_rate") > F.floor("__run_rate"))
+    copies = F.least(F.floor("__run_rate") + extra.cast("long"), F.lit(int(cap)))
+    single = keyed.join(runs, of_run).withColumn("copies", copies).drop("__source")
+    single = matched(matched(single, changes, "left"), repeated, "left_anti")
+    single = single.select("__doc", (F.col("copies") + F.coalesce("__change", F.lit(0).cast("long"))).alias("copies"))
     if not repeated.isEmpty():
-        joined = joined.unionByName(taken(repeated).dropDuplicates(["__id", "__hash", "__source"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+        group = ["__id", "__hash", "__source"]
+        again = matched(keyed, repeated, "inner").dropDuplicates(group)
+        single = single.unionByName(again.select("__doc", F.col("__sum").alias("copies")))
+    rows = single.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*[F.col("__doc")[n].alias(n) for n in names])
