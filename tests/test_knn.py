@@ -22,7 +22,7 @@ def test_every_way_gives_the_full_sort(spark, metric):
     wanted = brute(metric, a, a, 7)
     queries = as_queries(base)
     assert listed(knn.knn_join(base, queries, 7, metric)) == wanted
-    assert listed(knn.knn_join(base, queries, 7, metric, broadcast_bytes=0, chunk_bytes=1500)) == wanted
+    assert listed(knn.knn_join(base, queries, 7, metric, broadcast_bytes=1500)) == wanted
     assert listed(knn.knn_join(base, queries, 7, metric, bound_fraction=0.5)) == wanted
 
 
@@ -147,3 +147,55 @@ def test_non_finite_sample_bound(spark):
     base[40:] = np.arange(30).reshape(10, 3)
     answers = knn.knn_join(vectors(spark, base), as_queries(vectors(spark, base[40:42])), 12, "l2", bound_fraction=0.5)
     assert {q: len(ids) for q, ids in listed(answers).items()} == {0: 12, 1: 12}
+
+
+def clouds(seed, n, dim, groups=12):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim)) * 20
+    return centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dim)), rng
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_cells_prune_and_lose_nothing(spark, monkeypatch, metric, blocks):
+    points, rng = clouds(5, 1500, 6)
+    points[700:800] = points[3]  # many ties
+    points[10] = 0
+    if metric == "cosine":  # equal directions, which rounding may tell apart
+        points[800:900] = points[4] * rng.uniform(0.1, 50, (100, 1))
+    base = vectors(spark, points)
+    found = knn.knn_join(base, as_queries(base), 6, metric, broadcast_bytes=points.nbytes // blocks)
+    assert listed(found) == brute(metric, points, points, 6)
+
+
+def test_cells_leave_vectors_out(monkeypatch):
+    points, _ = clouds(6, 4000, 8)
+    cells = kernels.query_cells("l2", points)
+    best = kernels.TopK(len(points), 5)
+    queries = kernels.QueryBlock("l2", np.arange(len(points)), points)
+    kernels.scan_block(best, queries, np.arange(len(points)), np.arange(1000), points[:1000])
+    best.settle(force=True)
+    seen = []
+    monkeypatch.setattr(kernels, "scan_block", lambda b, q, rows, ids, block: seen.append(len(rows) * len(ids)))
+    kernels.scan_cells(best, queries, cells, np.arange(1000, 4000), points[1000:])
+    assert 0 < sum(seen) < 0.3 * 4000 * 3000
+    assert kernels.query_cells("ip", points) is None and kernels.query_cells("l2", points[:10]) is None
+
+
+def test_blocks_are_bounded_by_answers_too():
+    size = knn.VectorStats(130_000, 64)
+    assert knn.query_blocks(size, 1000, knn.BROADCAST_BYTES) == 33 and knn.query_blocks(size, 10, knn.BROADCAST_BYTES) == 1
+    assert knn.query_blocks(knn.VectorStats(10, 64), 5, 0) == 10
+
+
+def test_base_is_not_shuffled_by_passes(spark, monkeypatch, tmp_path):
+    points = np.random.default_rng(8).normal(size=(60, 3))
+    vectors(spark, points).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    plans, merge = [], knn.merge_topk
+    monkeypatch.setattr(knn, "merge_topk", lambda partial, k: plans.append(partial) or merge(partial, k))
+    assert listed(knn.knn_join(base, as_queries(base), 4, "l2", broadcast_bytes=500)) == brute("l2", points, points, 4)
+    assert len(plans) == 3
+    for partial in plans:
+        plan = partial._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Scan parquet" in plan and "Exchange" not in plan

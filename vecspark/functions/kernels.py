@@ -17,6 +17,9 @@ BIT_METRICS = ("hamming", "jaccard")
 SCORE_ELEMENTS = 1_000_000
 PAIR_ELEMENTS = 8_000_000
 TILE_ROWS = 1024
+#: queries from which cells are formed, and the share of pairs left from which they save nothing
+CELL_QUERIES = 256
+PRUNED_SHARE = 0.5
 
 RESULT_FIELDS = "qid long, id long, distance double"
 _RESULT_SCHEMA = pa.schema(
@@ -283,17 +286,85 @@ def result_batches(queries: QueryBlock, best: TopK, rows: int = 200_000):
         )
 
 
+class QueryCells:
+    """Queries grouped round some of them, with the radius of each group in the space of cells.
+
+    A vector at distance D of a centre is at least D - radius from every query of the cell, so it
+    cannot be among their k best where that exceeds the largest of their limits.
+    """
+
+    def __init__(self, metric: str, centres: np.ndarray, members: list[np.ndarray], radii: np.ndarray):
+        self.metric, self.centres, self.members, self.radii = metric, centres, members, radii
+        self.squares = np.square(centres).sum(axis=1)
+
+    def reach(self, limits: np.ndarray) -> np.ndarray:
+        """Per cell the largest limit of its queries, as a distance in the space of cells."""
+        widest = np.array([limits[m].max() for m in self.members])
+        if self.metric == "l2":
+            return widest
+        # a cosine distance is off by some rounding units, whose root counts here
+        return np.sqrt(2 * (widest + (4 * self.centres.shape[1] + 64) * np.finfo(np.float64).eps))
+
+    def near(self, block: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """``[rows, cells]``: may the vector be among the k best of a query of the cell?"""
+        with np.errstate(all="ignore"):
+            points = cell_space(self.metric, block)
+            squares = np.square(points).sum(axis=1)
+            square = squares[:, None] + self.squares - 2 * (points @ self.centres.T)
+            # the product is off by dim rounding units of the squared lengths at most
+            slack = (4 * points.shape[1] + 64) * np.finfo(np.float64).eps * (squares[:, None] + self.squares)
+            least = np.sqrt(np.maximum(square - slack, 0.0))
+            out = least > (self.radii + self.reach(limits)) * (1 + 1e-9)
+        return ~out  # what is not a number is not out
+
+
+def query_cells(metric: str, matrix: np.ndarray) -> QueryCells | None:
+    """Cells for a block of queries, or None where they cannot help."""
+    if metric not in ("l2", "cosine") or len(matrix) < CELL_QUERIES or not np.isfinite(matrix).all():
+        return None
+    points = cell_space(metric, matrix)
+    if not np.isfinite(np.square(points).sum(axis=1)).all():
+        return None
+    count = int(np.sqrt(len(points)))
+    chosen = np.sort(np.random.default_rng(5).choice(len(points), count, replace=False))
+    centres, half = points[chosen], np.square(points[chosen]).sum(axis=1) / 2
+    nearest = np.empty(len(points), np.int64)
+    step = max(1, SCORE_ELEMENTS // count)
+    for lo in range(0, len(points), step):
+        nearest[lo:lo + step] = (half - points[lo:lo + step] @ centres.T).argmin(axis=1)
+    kept = np.unique(nearest)
+    members = [np.flatnonzero(nearest == c) for c in kept]
+    radii = [np.sqrt(np.square(points[m] - centres[c]).sum(axis=1)).max() for m, c in zip(members, kept)]
+    return QueryCells(metric, centres[kept], members, np.array(radii) * (1 + 1e-9))
+
+
+def scan_cells(best: TopK, queries: QueryBlock, cells: QueryCells, ids: np.ndarray, block: np.ndarray) -> None:
+    """As ``scan_block`` for all queries, but a cell meets only the vectors in its reach."""
+    near = cells.near(block, best.limit)
+    sizes = np.array([len(m) for m in cells.members])
+    if (near.sum(axis=0) * sizes).sum() > PRUNED_SHARE * len(ids) * sizes.sum():
+        scan_block(best, queries, np.arange(sizes.sum()), ids, block)
+        return
+    for c in np.flatnonzero(near.any(axis=0)):
+        rows = np.flatnonzero(near[:, c])
+        scan_block(best, queries, cells.members[c], ids[rows], block[rows])
+
+
 def topk_scan(shared, k: int, metric: str):
     """``mapInArrow`` body: scan ``(id, v)`` batches against broadcast queries."""
 
     def run(batches):
-        qids, matrix, bound = shared.value
+        qids, matrix, bound, cells = shared.value
         queries = QueryBlock(metric, qids, matrix)
         best = TopK(len(qids), k, bound)
         rows = np.arange(len(qids))
         for batch in batches:
             if batch.num_rows:
-                scan_block(best, queries, rows, batch.column(0).to_numpy(), as_matrix(batch.column(1)))
+                ids, block = batch.column(0).to_numpy(), as_matrix(batch.column(1))
+                if cells is None or block.shape[1] != matrix.shape[1] or np.isinf(best.limit).all():
+                    scan_block(best, queries, rows, ids, block)
+                else:
+                    scan_cells(best, queries, cells, ids, block)
                 best.settle()
         yield from result_batches(queries, best)
 

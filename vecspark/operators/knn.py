@@ -1,8 +1,10 @@
 """Exact k-nearest-neighbour search over DataFrames.
 
 ``base`` holds ``(id, v, ...)`` rows and ``queries`` holds ``(qid, qv)`` rows.
-Base vectors never leave their scan when the query set is small enough to
-broadcast; a larger query set is joined chunk by chunk instead.
+Base vectors never leave their scan: the query set is broadcast, a large one
+block by block, and each block is one pass over the base. Within a block, queries
+near each other form cells; a base vector that the triangle inequality keeps
+out of reach of a cell is not measured against its queries.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecspark.functions import kernels
+from vecspark.session import scratch_path
 
 #: largest query set (or centroid set) sent to every executor
 BROADCAST_BYTES = 64 << 20
 #: size of one chunk of base or query vectors when both sides are shuffled
 CHUNK_BYTES = 32 << 20
+#: answers that one task may hold: queries of a block times k
+TASK_ANSWERS = 4_000_000
 #: answers per task from which a bound taken from a sample pays for its scan
 BOUND_ANSWERS = 1_000_000
 BOUND_FRACTION = 0.01
@@ -104,7 +109,6 @@ def knn_join(
     vec_col: str = "v",
     bound_fraction: float | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """``(qid, rank, id, distance)``: the k nearest base rows of every query.
 
@@ -112,7 +116,9 @@ def knn_join(
     come back. ``bound_fraction`` is the share of the base scanned first for an
     upper bound of each k-th distance, which keeps all but about
     ``k / bound_fraction`` rows per query out of the shuffle; by default it is
-    used only when each task could emit a million answers.
+    used only when each task could emit a million answers. A query set beyond
+    ``broadcast_bytes``, or with more than TASK_ANSWERS answers, is searched
+    block by block when this is called; else the result is lazy.
     """
     _check(k, metric)
     if predicate is not None:
@@ -122,11 +128,31 @@ def knn_join(
     if not size.rows:
         return _empty_answers(base.sparkSession)
     rows = base_columns(base, id_col, vec_col)
-    if size.bytes <= broadcast_bytes:
-        partial = _scan(rows, collect_queries(queries, metric), k, metric, bound_fraction)
-    else:
-        partial = _join_chunks(rows, base_stats(base, vec_col), queries, size, k, metric, chunk_bytes)
-    return merge_topk(partial, k)
+    blocks = query_blocks(size, k, broadcast_bytes)
+    if blocks == 1:
+        return merge_topk(_scan(rows, collect_queries(queries, metric), k, metric, bound_fraction), k)
+    return _passes(rows, queries, blocks, k, metric, bound_fraction)
+
+
+def query_blocks(size: VectorStats, k: int, broadcast_bytes: int) -> int:
+    """Blocks of queries small enough to broadcast and, times k, for one task to hold their answers."""
+    return min(size.rows, max(math.ceil(size.bytes / max(1, broadcast_bytes)), math.ceil(size.rows * k / TASK_ANSWERS)))
+
+
+def _passes(rows: DataFrame, queries: DataFrame, blocks: int, k: int, metric: str, bound_fraction: float | None) -> DataFrame:
+    """One pass over the base for each block of queries; the answers of a pass are written before the next begins.
+
+    The driver holds one block at a time. The base is read again by each pass but never shuffled,
+    and a pass measures so many queries against each vector read that reading is not what it costs.
+    """
+    spark = rows.sparkSession
+    asked, answers = scratch_path(spark, "asked"), scratch_path(spark, "answers")
+    queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(asked)
+    written = spark.read.parquet(asked)
+    for block in sorted(r["block"] for r in written.select("block").distinct().collect()):
+        held = collect_queries(written.where(F.col("block") == block), metric)
+        merge_topk(_scan(rows, held, k, metric, bound_fraction), k).write.parquet(f"{answers}/block={block}")
+    return spark.read.schema("qid long, rank int, id long, distance double").parquet(f"{answers}/*")
 
 
 def _scan(base: DataFrame, queries, k: int, metric: str, bound_fraction: float | None) -> DataFrame:
@@ -135,7 +161,8 @@ def _scan(base: DataFrame, queries, k: int, metric: str, bound_fraction: float |
     if bound_fraction is None:
         bound_fraction = BOUND_FRACTION if len(qids) * k >= BOUND_ANSWERS else 0.0
     bound = _sample_bound(base, queries, k, metric, bound_fraction) if bound_fraction else None
-    shared = sc.broadcast((qids, matrix, bound))
+    cells = kernels.query_cells(metric, matrix)
+    shared = sc.broadcast((qids, matrix, bound, cells))
     return base.mapInArrow(kernels.topk_scan(shared, k, metric), kernels.RESULT_FIELDS)
 
 
@@ -157,27 +184,6 @@ def _sample_bound(base, queries, k, metric, fraction) -> np.ndarray:
     return bound
 
 
-def _join_chunks(
-    base, base_size: VectorStats, queries, size: VectorStats, k: int, metric: str, chunk_bytes: int
-) -> DataFrame:
-    """Both sides too large to broadcast: meet chunk by chunk, keyed by the chunk pair."""
-    if not base_size.rows:
-        return base.sparkSession.createDataFrame([], kernels.RESULT_FIELDS)
-    n_base = max(1, math.ceil(base_size.bytes / chunk_bytes))
-    n_query = max(1, math.ceil(size.bytes / chunk_bytes))
-    left = base.select(
-        "id", "v",
-        F.pmod(F.xxhash64("id", "v"), F.lit(n_base)).alias("b"),
-        replicas(F.lit(n_query)).alias("q"),
-    )
-    right = queries.select(
-        "qid", "qv",
-        replicas(F.lit(n_base)).alias("b"),
-        F.pmod(F.xxhash64("qid"), F.lit(n_query)).alias("q"),
-    )
-    return cogrouped_topk(left, right, ["b", "q"], k, metric)
-
-
 def replicas(count: Column) -> Column:
     """One row for each of 0 .. count - 1, as LONG."""
     return F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))
