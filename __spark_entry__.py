@@ -393,6 +393,25 @@ def e1_ivf_build(spark, sf_dir):
     )
 
 
+def e1_ivf_two_level(spark, sf_dir):
+    """Centroids below coarse cells: every row is posted once, nine in ten in the nearest of all lists."""
+    base = _base(spark, sf_dir)
+    index = ivf.ivf_build(base, _name("two_level"), 64, "l2", centroid_bytes=DIM * 8 * 8, location=scratch_dir(spark))
+    centres = spark.table(index.table("centroids")).select(F.col("list").alias("id"), F.col("c").alias("v"))
+    nearest = knn.knn_join(centres, _queries(base), 1, "l2").select(F.col("qid").alias("id"), F.col("id").alias("nearest"))
+    posted = index.postings(spark).join(nearest, "id")
+    return posted.agg(
+        F.count("*").alias("posted"), F.count_distinct("id").alias("ids"),
+        (F.avg((F.col("list") == F.col("nearest")).cast("int")) >= 0.9).alias("nine_in_ten_nearest"),
+    )
+
+
+def e2_ivf_search_two_level(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    index = ivf.ivf_build(base, _name("two_level"), 64, "l2", centroid_bytes=DIM * 8 * 8, location=scratch_dir(spark))
+    return _rounded(ivf.ivf_search(index, _queries(base), K, index.lists))
+
+
 def _ivf_query(metric: str, predicate: str | None = None, **limits):
     def run(spark, sf_dir):
         index = _ivf(spark, sf_dir, metric)
@@ -606,6 +625,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d5_project_ids": d5_project_ids,
         "d6_expand_workload": d6_expand_workload,
         "e1_ivf_build": e1_ivf_build,
+        "e1_ivf_two_level": e1_ivf_two_level,
+        "e2_ivf_search_two_level": e2_ivf_search_two_level,
         "e2_ivf_search_all_probes": _ivf_query("l2"),
         "e2_ivf_search_shuffled": _ivf_query("l2", broadcast_bytes=0, chunk_bytes=50_000),
         "e3_graph_build": e3_graph_build,
@@ -790,6 +811,8 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "FROM (SELECT vec_id AS qid, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) p, "
         "(SELECT count(*) AS n FROM embeddings) c, (SELECT unnest(range(3)) AS round) r",
         "e1_ivf_build": "SELECT vec_id AS id, 1::BIGINT AS copies, len(embedding)::INTEGER AS dim, true AS listed FROM embeddings",
+        "e1_ivf_two_level": "SELECT count(*) AS posted, count(DISTINCT vec_id) AS ids, true AS nine_in_ten_nearest FROM embeddings",
+        "e2_ivf_search_two_level": exact_l2,
         "e2_ivf_search_all_probes": exact_l2,
         "e2_ivf_search_shuffled": exact_l2,
         "e3_graph_build": "SELECT 'nodes' AS fact, count(*) AS value FROM embeddings UNION ALL "

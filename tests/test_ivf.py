@@ -125,7 +125,7 @@ def test_bad_arguments(spark, base, index):
     with pytest.raises(ValueError, match="dimension"):
         ivf.ivf_search(index, as_queries(vectors(spark, np.ones((1, 3)))), 5)
     with pytest.raises(ValueError, match="fewer lists"):
-        ivf.check_lists(10**8, "l2", 8)
+        ivf.coarse_for(10**13, "l2", 8, 64 << 20)
     with pytest.raises(ValueError, match="empty"):
         ivf.ivf_build(base.where("id < 0"), "ivf_none", 4, "l2")
     assert ivf.ivf_search(index, as_queries(base.where("id < 0")), 5).count() == 0

@@ -2,7 +2,8 @@
 
 ``<name>_centroids(list, c)``, ``<name>_postings(part, list, id, v, ...)`` and
 the one-row ``<name>_meta``. The index is data: it is written once and every
-search reads the written tables.
+search reads the written tables. Centroids too many to broadcast lie below
+coarse cells: ``<name>_cells(list, c)`` and ``<name>_centroids(cell, list, c)``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecspark.functions import kernels
-from vecspark.operators import knn
+from vecspark.operators import celltree, knn
 from vecspark.sources import tables
 
 #: partition folders of the postings table
@@ -30,6 +31,7 @@ class IvfIndex:
     dim: int
     lists: int
     max_norm: float
+    coarse: int = 0
 
     @property
     def parts(self) -> int:
@@ -42,8 +44,8 @@ class IvfIndex:
         return spark.table(self.table("postings"))
 
     def centroids(self, spark: SparkSession):
-        """``(numbers, matrix)``; small enough to broadcast, as checked when built."""
-        return read_centroids(spark, self.table("centroids"))
+        """``(numbers, matrix)`` of what is broadcast: the centroids, or the coarse cells above them."""
+        return read_centroids(spark, self.table("cells" if self.coarse else "centroids"))
 
 
 def read_centroids(spark: SparkSession, table: str):
@@ -55,13 +57,17 @@ def cell_dim(metric: str, dim: int) -> int:
     return {"ip": dim + 1, "hamming": dim * 64, "jaccard": dim * 64}.get(metric, dim)
 
 
-def check_lists(lists: int, metric: str, dim: int) -> None:
+def coarse_for(lists: int, metric: str, dim: int, centroid_bytes: int) -> int:
+    """Coarse cells needed for so many lists; 0 if the centroids themselves can be broadcast."""
     if lists < 1:
         raise ValueError(f"lists must be at least 1, not {lists}")
-    if lists * cell_dim(metric, dim) * 8 > knn.BROADCAST_BYTES:
-        raise ValueError(
-            f"{lists} centroids of {cell_dim(metric, dim)} dimensions exceed {knn.BROADCAST_BYTES} bytes; ask for fewer lists"
-        )
+    width = cell_dim(metric, dim) * 8
+    if lists * width <= centroid_bytes:
+        return 0
+    coarse = celltree.coarse_cells(lists)
+    if coarse * width > knn.BROADCAST_BYTES:
+        raise ValueError(f"{coarse} coarse cells for {lists} lists exceed {knn.BROADCAST_BYTES} bytes; ask for fewer lists")
+    return coarse
 
 
 def largest_norm(base: DataFrame) -> float:
@@ -118,12 +124,23 @@ def _payload(base: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def _post(base: DataFrame, index_parts: int, centroids, metric: str, max_norm: float) -> DataFrame:
+def _listed(base: DataFrame, index: IvfIndex) -> DataFrame:
+    """Rows ``(id, v, ...)`` with the number of their list."""
+    spark, centroids = base.sparkSession, index.centroids(base.sparkSession)
+    if not index.coarse:
+        return with_cells(base, "v", centroids, 1, index.metric, index.max_norm).withColumn("list", F.col("cells")[0])
+    points = celltree.located(base, centroids, celltree.HOPS, index.metric, index.max_norm)
+    fine = spark.table(index.table("centroids"))
+    nearest = celltree.nearest_lists(points, fine, 1, cell_dim(index.metric, index.dim))
+    return base.join(nearest.select(F.col("qid").alias("id"), F.col("id").cast("int").alias("list")), "id")
+
+
+def _post(base: DataFrame, index: IvfIndex) -> DataFrame:
     """Rows with their list. Rebalancing splits a list that holds too many rows for one task."""
     rest = [c for c in base.columns if c not in ("id", "v")]
-    listed = with_cells(base, "v", centroids, 1, metric, max_norm).withColumn("list", F.col("cells")[0])
     return (
-        listed.select("list", "id", "v", *rest, (F.col("list") % index_parts).cast("int").alias("part"))
+        _listed(base, index)
+        .select("list", "id", "v", *rest, (F.col("list") % index.parts).cast("int").alias("part"))
         .hint("rebalance", F.col("list"))
         .sortWithinPartitions("part", "list")
     )
@@ -140,12 +157,14 @@ def ivf_build(
     vec_col: str = "v",
     max_iter: int = 10,
     train_fraction: float = 1.0,
+    centroid_bytes: int = knn.BROADCAST_BYTES,
     location: str | None = None,
 ) -> IvfIndex:
     """Cluster the base into at most ``lists`` cells and write the index tables.
 
     Centroids are fitted on all rows, by distributed passes; ``train_fraction``
-    below 1 fits them on a sample.
+    below 1 fits them on a sample. Beyond ``centroid_bytes`` they are fitted in two levels, on at most
+    256 rows a list, and a row goes to the nearest of the lists below its three nearest coarse cells.
     """
     kernels.check_metric(metric)
     spark = base.sparkSession
@@ -154,21 +173,34 @@ def ivf_build(
     if not size.rows:
         raise ValueError("cannot build an index on an empty base")
     lists = min(lists, size.rows)
-    check_lists(lists, metric, size.dim)
+    coarse = coarse_for(lists, metric, size.dim, centroid_bytes)
     max_norm = 0.0
     if metric == "ip":
         max_norm = largest_norm(base)
-    found = train_centroids(base, lists, metric, max_norm, seed, max_iter, train_fraction)
-    centroids = (np.arange(len(found), dtype=np.int32), found)
-    index = IvfIndex(name, metric, size.dim, len(found), max_norm)
-
-    posted = _post(base, index.parts, centroids, metric, max_norm)
-    tables.save(posted, index.table("postings"), "errorifexists", ["part"], location)
-    cells = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)], "list int, c array<double>")
-    tables.save(cells, index.table("centroids"), "errorifexists", location=location)
+
+    def save_centroids(found: np.ndarray, kind: str) -> None:
+        cells = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)], "list int, c array<double>")
+        tables.save(cells, f"{name}_{kind}", "errorifexists", location=location)
+
+    if coarse:
+        fraction = min(train_fraction, celltree.sample_fraction(size.rows, lists))
+        top = train_centroids(base, coarse, metric, max_norm, seed, max_iter, fraction)
+        save_centroids(top, "cells")
+        chosen = base.select("id", "v")
+        if fraction < 1:
+            chosen = chosen.sample(fraction, seed=seed)
+        fine = celltree.train(chosen, lists, (np.arange(len(top), dtype=np.int32), top), metric, max_norm, seed, max_iter)
+        tables.save(fine, f"{name}_centroids", "errorifexists", location=location)
+        index = IvfIndex(name, metric, size.dim, fine.count(), max_norm, len(top))
+    else:
+        found = train_centroids(base, lists, metric, max_norm, seed, max_iter, train_fraction)
+        save_centroids(found, "centroids")
+        index = IvfIndex(name, metric, size.dim, len(found), max_norm)
+
+    tables.save(_post(base, index), index.table("postings"), "errorifexists", ["part"], location)
     meta = spark.createDataFrame(
         [("ivf", *asdict(index).values())],
-        "kind string, name string, metric string, dim int, lists int, max_norm double",
+        "kind string, name string, metric string, dim int, lists int, max_norm double, coarse int",
     )
     tables.save(meta, index.table("meta"), "errorifexists", location=location)
     return index
@@ -178,14 +210,14 @@ def ivf_open(spark: SparkSession, name: str) -> IvfIndex:
     row = spark.table(f"{name}_meta").first()
     if row["kind"] != "ivf":
         raise ValueError(f"{name} is not an inverted-list index")
-    return IvfIndex(name, row["metric"], row["dim"], row["lists"], row["max_norm"])
+    return IvfIndex(name, row["metric"], row["dim"], row["lists"], row["max_norm"], row.asDict().get("coarse") or 0)
 
 
 def ivf_append(index: IvfIndex, new_rows: DataFrame, *, id_col: str = "id", vec_col: str = "v") -> IvfIndex:
     """Add rows to the lists of their nearest existing centroids."""
     spark = new_rows.sparkSession
     rows = _payload(new_rows, id_col, vec_col)
-    posted = _post(rows, index.parts, index.centroids(spark), index.metric, index.max_norm)
+    posted = _post(rows, index)
     columns = index.postings(spark).columns
     missing = [c for c in columns if c not in posted.columns]
     if missing:
@@ -222,9 +254,7 @@ def ivf_search(
     if size.dim != index.dim:
         raise ValueError(f"vectors differ in dimension: {size.dim} and {index.dim}")
     probes = min(probes, index.lists)
-    probed = with_cells(
-        queries, "qv", index.centroids(spark), probes, index.metric, index.max_norm, query=True
-    )
+    probed = _probed(queries, index, probes)
     postings = index.postings(spark)
     if predicate is not None:
         postings = postings.where(predicate)
@@ -236,15 +266,29 @@ def ivf_search(
     return knn.merge_topk(partial, k)
 
 
+def _probed(queries: DataFrame, index: IvfIndex, probes: int) -> DataFrame:
+    """``(qid, qv, cells)`` with the lists to look into."""
+    spark, centroids = queries.sparkSession, index.centroids(queries.sparkSession)
+    if not index.coarse:
+        return with_cells(queries, "qv", centroids, probes, index.metric, index.max_norm, query=True)
+    rows = queries.select(F.col("qid").alias("id"), F.col("qv").alias("v"))
+    hops = celltree.hops_for(probes, index.lists, index.coarse)
+    points = celltree.located(rows, centroids, hops, index.metric, index.max_norm, query=True)
+    found = celltree.nearest_lists(points, spark.table(index.table("centroids")), probes, cell_dim(index.metric, index.dim))
+    cells = found.groupBy("qid").agg(F.collect_list(F.col("id").cast("int")).alias("cells"))
+    return queries.join(cells, "qid")
+
+
 def _scan_lists(index: IvfIndex, postings: DataFrame, probed: DataFrame, k: int) -> DataFrame:
     """Broadcast the queries grouped by probed list; read only those lists, without a shuffle."""
     table = probed.toArrow()
     qids = table.column("qid").to_numpy()
     matrix = kernels.as_matrix(table.column("qv")).astype(kernels.exact_type(index.metric))
-    cells = kernels.as_matrix(table.column("cells"))
-    order = np.argsort(cells.ravel(), kind="stable")
-    lists, starts = np.unique(cells.ravel()[order], return_index=True)
-    members = np.repeat(np.arange(len(qids)), cells.shape[1])[order]
+    probed_lists = table.column("cells").combine_chunks()
+    cells, counts = probed_lists.flatten().to_numpy(), np.diff(probed_lists.offsets.to_numpy())
+    order = np.argsort(cells, kind="stable")
+    lists, starts = np.unique(cells[order], return_index=True)
+    members = np.repeat(np.arange(len(qids)), counts)[order]
     shared = postings.sparkSession.sparkContext.broadcast(
         (qids, matrix, lists, np.append(starts, len(members)), members)
     )

@@ -69,7 +69,7 @@ def drop_index(spark: SparkSession, name: str) -> None:
     Dropping a table written with ``location`` leaves its folder, which ``save`` names after the
     table; only a folder of that name is deleted.
     """
-    for kind in ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies"):
+    for kind in ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells"):
         table = f"{name}_{kind}"
         folder = table_folder(spark, table)
         drop_table(spark, table)
