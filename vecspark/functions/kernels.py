@@ -415,36 +415,118 @@ def topk_pair(k: int, metric: str):
     return run
 
 
-def asked_distances(shared, metric: str):
-    """``mapInArrow`` body for ``(id, part, v, qids)``: distance of each row to the listed broadcast queries."""
+WALK_FIELDS = "qid long, id long, part int, distance double, expanded boolean, near boolean"
+
+
+class Shard:
+    """Vectors and edges of one shard of a graph, for walks that stay inside it."""
+
+    def __init__(self, table: pa.Table, metric: str):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids)
+        self.metric, self.ids = metric, ids[order]
+        self.vectors = as_matrix(table.column("v")).astype(exact_type(metric), copy=False)[order]
+        lists = table.column("dst").combine_chunks()
+        counts = np.zeros(len(ids), np.int64)
+        held = lists.is_valid().to_numpy(zero_copy_only=False)
+        counts[held] = np.diff(lists.offsets.to_numpy())[held]
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        self.first, self.count = starts[:-1][order], counts[order]
+        self.dst = lists.flatten().to_numpy()
+        self.dst_part = table.column("dst_part").combine_chunks().flatten().to_numpy()
+        self.visited = np.zeros(len(ids), bool)
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of ``ids`` in this shard; -1 for nodes of other shards."""
+        at = np.searchsorted(self.ids, ids)
+        at[at == len(self.ids)] = 0
+        return np.where(self.ids[at] == ids, at, -1) if len(self.ids) else np.full(len(ids), -1)
+
+    def measure(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return paired(self.metric, self.vectors[rows], query)
+
+    def edges(self, rows: np.ndarray) -> np.ndarray:
+        """Positions of the edges of ``rows``."""
+        counts = self.count[rows]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.repeat(self.first[rows], counts) + within
+
+    def walk(self, query: np.ndarray, ids, distances, expanded, asked, ef: int, width: int | None, levels: int | None):
+        """Expand a beam inside the shard: rows measured or expanded ``(id, distance, expanded, in the beam)``, and edges out ``(id, part)``."""
+        at = self.place(ids)
+        local = at >= 0
+        self.visited[at[local]] = True
+        touched = [at[local]]
+        before = expanded.copy()
+        fresh = self.place(np.unique(asked))
+        fresh = fresh[(fresh >= 0)]
+        fresh = fresh[~self.visited[fresh]]
+        known = len(ids)
+        all_at, all_id, all_d, done = at, ids, distances, expanded
+        out_id, out_part, level = [], [], 0
+        while True:
+            if len(fresh):
+                self.visited[fresh] = True
+                touched.append(fresh)
+                all_at, all_id = np.append(all_at, fresh), np.append(all_id, self.ids[fresh])
+                all_d = np.append(all_d, self.measure(query, fresh))
+                done = np.append(done, np.zeros(len(fresh), bool))
+            beam = np.lexsort((all_id, all_d))[:ef]
+            todo = beam[(all_at[beam] >= 0) & ~done[beam]]
+            if not len(todo) or (levels is not None and level >= levels):
+                break
+            todo, level = todo[:width], level + 1
+            done[todo] = True
+            edges = self.edges(all_at[todo])
+            targets = self.dst[edges]
+            to = self.place(targets)
+            beyond = to < 0
+            out_id.append(targets[beyond])
+            out_part.append(self.dst_part[edges[beyond]])
+            fresh = np.unique(to[~beyond])
+            fresh = fresh[~self.visited[fresh]]
+        self.visited[np.concatenate(touched)] = False
+        kept = np.flatnonzero(np.r_[done[:known] & ~before, np.ones(len(all_id) - known, bool)])
+        far, where = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_id, out_part))
+        far, first = np.unique(far, return_index=True)
+        best = np.zeros(len(all_id), bool)
+        best[beam] = True
+        return all_id[kept], all_d[kept], done[kept], best[kept], far, where[first]
+
+
+def walk_shard(metric: str, ef: int, width: int | None, levels: int | None):
+    """``cogroup().applyInArrow`` body: a shard ``(id, v, dst, dst_part, part)`` and the queries ``(qid, qv, beam, asked)`` walking it.
+
+    Rows out of it are WALK_FIELDS; ``near`` rows are in the beam, edges that leave the shard have no distance.
+    """
+    schema = pa.schema([
+        ("qid", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("distance", pa.float64()), ("expanded", pa.bool_()), ("near", pa.bool_()),
+    ])
 
-    def run(batches):
-        qids, matrix = shared.value
-        order = np.argsort(qids)
-        known = qids[order]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            asked = batch.column(3)
-            counts = np.diff(asked.offsets.to_numpy())
-            asked = asked.flatten().to_numpy()
-            at = order[np.searchsorted(known, asked)]
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            block = as_matrix(batch.column(2)).astype(exact_type(metric))
-            step = max(1, PAIR_ELEMENTS // block.shape[1])
-            d = np.empty(len(asked))
-            for lo in range(0, len(asked), step):
-                part = slice(lo, lo + step)
-                d[part] = paired(metric, matrix[at[part]], block[row[part]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(asked),
-                    batch.column(0).take(pa.array(row)),
-                    batch.column(1).take(pa.array(row)),
-                    pa.array(d, from_pandas=False),
-                ],
-                names=["qid", "id", "part", "distance"],
-            )
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        shard, part = Shard(left, metric), left.column("part")[0].as_py()
+        qids, queries = right.column("qid").to_numpy(), as_matrix(right.column("qv")).astype(exact_type(metric), copy=False)
+        beams, asked = right.column("beam").combine_chunks(), right.column("asked").combine_chunks()
+        found = []
+        for i in range(len(qids)):
+            ids, d, done = np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+            if beams[i].is_valid:
+                rows = beams[i].values
+                ids, d, done = (np.array(rows.field(n).to_numpy(zero_copy_only=False)) for n in ("id", "distance", "expanded"))
+            wanted = asked[i].values.to_numpy() if asked[i].is_valid else np.empty(0, np.int64)
+            seen, distance, expanded, near, far, where = shard.walk(queries[i], ids, d, done, wanted, ef, width, levels)
+            n, m = len(seen), len(far)
+            found.append((
+                np.full(n + m, qids[i]), np.r_[seen, far], np.r_[np.full(n, part), where], np.r_[distance, np.zeros(m)],
+                np.r_[expanded, np.zeros(m, bool)], np.r_[near, np.zeros(m, bool)], np.r_[np.zeros(n, bool), np.ones(m, bool)],
+            ))
+        qid, id_, part_, distance, expanded, near, unmeasured = (np.concatenate(c) for c in zip(*found))
+        values = (pa.array(qid, pa.int64()), pa.array(id_, pa.int64()), pa.array(part_.astype(np.int32)),
+                  pa.array(distance, mask=unmeasured, from_pandas=False), pa.array(expanded), pa.array(near))
+        return pa.Table.from_arrays(list(values), schema=schema)
 
     return run
 
