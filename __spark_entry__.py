@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from vecspark.functions import distance as dist  # noqa: E402
 from vecspark.functions.literals import from_vector_literal, to_vector_literal  # noqa: E402
-from vecspark.operators import evaluate, graph, ivf, knn  # noqa: E402
+from vecspark.operators import declared, evaluate, graph, ivf, knn  # noqa: E402
 from vecspark.plans import sweep as sweeps  # noqa: E402
 from vecspark.session import scratch_dir, scratch_path, ship_package, write_step  # noqa: E402
 from vecspark.sources import parquet, registry, tables, vecs  # noqa: E402
@@ -470,6 +470,23 @@ def e5_ivf_append(spark, sf_dir):
     return _rounded(ivf.ivf_search(index, _queries(base), K, index.lists))
 
 
+def e5_index_before_load(spark, sf_dir):
+    """Declared on nothing, trained by the first load, grown by the second."""
+    base, name = _base(spark, sf_dir), _name("declared")
+    declared.declare_index(spark, name, "ivf", "l2", location=scratch_dir(spark), lists=LISTS)
+    for rows in _halves(base):
+        index = declared.load_index(rows, name)
+    return _rounded(ivf.ivf_search(index, _queries(base), K, index.lists))
+
+
+def e7_graph_search_rare(spark, sf_dir):
+    """One row in fifty passes: a narrow beam goes on until it has met k of them, or all."""
+    base = _base(spark, sf_dir)
+    found = graph.graph_search(_graph(spark, sf_dir), _queries(base), K, 20, "id % 50 = 7")
+    per_query = found.groupBy("qid").agg(F.count("*").alias("answers"), F.count_if(F.expr("id % 50 <> 7")).alias("not_passing"))
+    return per_query.select("qid", "answers", "not_passing")
+
+
 def e6_graph_append(spark, sf_dir):
     base = _base(spark, sf_dir)
     first, later = _halves(base)
@@ -634,9 +651,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e4_graph_search_full_beam": _graph_query("l2"),
         "e4_graph_search_floor": e4_graph_search_floor,
         "e5_ivf_append": e5_ivf_append,
+        "e5_index_before_load": e5_index_before_load,
         "e6_graph_append": e6_graph_append,
         "e7_ivf_search_filtered": _ivf_query("l2", "label < 3"),
         "e7_graph_search_filtered": _graph_query("l2", "label < 3"),
+        "e7_graph_search_rare": e7_graph_search_rare,
         "e8_drop_index": e8_drop_index,
         "e9_ivf_search_cosine": _ivf_query("cosine"),
         "e9_ivf_search_ip": _ivf_query("ip"),
@@ -822,9 +841,12 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "e4_graph_search_full_beam": exact_l2,
         "e4_graph_search_floor": "SELECT count(*) AS queries, true AS reaches_floor FROM embeddings",
         "e5_ivf_append": exact_l2,
+        "e5_index_before_load": exact_l2,
         "e6_graph_append": exact_l2,
         "e7_ivf_search_filtered": _sql_knn("l2", labelled),
         "e7_graph_search_filtered": _sql_knn("l2", labelled),
+        "e7_graph_search_rare": "SELECT vec_id AS qid, least(10, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 7))::BIGINT AS answers, "
+        "0::BIGINT AS not_passing FROM embeddings",
         "e8_drop_index": "SELECT count(*) AS postings, false AS still_there, true AS had_files, 0::BIGINT AS files_left FROM embeddings",
         "e9_ivf_search_cosine": _sql_knn("cosine"),
         "e9_ivf_search_ip": _sql_knn("ip"),

@@ -63,13 +63,14 @@ def count_files(spark: SparkSession, folder: str) -> int:
     return store.getContentSummary(path).getFileCount() if store.exists(path) else 0
 
 
-def drop_index(spark: SparkSession, name: str) -> None:
-    """Drop every table of an index with its files; an absent index is no error.
+def drop_index(spark: SparkSession, name: str, keep: tuple[str, ...] = ()) -> None:
+    """Drop every table of an index with its files, but for the kinds to ``keep``; an absent index is no error.
 
     Dropping a table written with ``location`` leaves its folder, which ``save`` names after the
     table; only a folder of that name is deleted.
     """
-    for kind in ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells"):
+    kinds = ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells", "definition")
+    for kind in (k for k in kinds if k not in keep):
         table = f"{name}_{kind}"
         folder = table_folder(spark, table)
         drop_table(spark, table)
