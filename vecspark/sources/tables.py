@@ -56,6 +56,20 @@ def table_folder(spark: SparkSession, table: str) -> str | None:
     return rows[0][0] if rows else None
 
 
+def drop_partitions(spark: SparkSession, table: str, unwanted) -> None:
+    """Drop the partitions of ``table`` for whose name (``a=1/b=x``) ``unwanted`` is true, with their files.
+
+    Names are read as they are listed, so the values must need no escape.
+    """
+    folder = table_folder(spark, table)
+    for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        if unwanted(row["partition"]):
+            keys = ", ".join(f"{k}='{v}'" for k, v in (pair.split("=") for pair in row["partition"].split("/")))
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({keys})")
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['partition']}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def count_files(spark: SparkSession, folder: str) -> int:
     """Files below ``folder``, read through Hadoop; 0 if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -69,7 +83,7 @@ def drop_index(spark: SparkSession, name: str, keep: tuple[str, ...] = ()) -> No
     Dropping a table written with ``location`` leaves its folder, which ``save`` names after the
     table; only a folder of that name is deleted.
     """
-    kinds = ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells", "definition")
+    kinds = ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells", "live", "definition")
     for kind in (k for k in kinds if k not in keep):
         table = f"{name}_{kind}"
         folder = table_folder(spark, table)
