@@ -30,6 +30,34 @@ def test_fvecs_positions_run_over_files_and_splits(spark, tmp_path):
     assert dict(rows.dtypes) == {"id": "bigint", "v": "array<float>"}
 
 
+def test_vecs_through_a_configured_file_system(spark, tmp_path):
+    a = np.random.default_rng(3).normal(size=(95, 6)).astype(np.float32)
+    for name, part in (("one", a[:40]), ("two", a[40:])):
+        write_vecs(tmp_path / name, part, "<f4")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./vecs", f"file://{tmp_path}")
+    rows = vecs.scan_fvecs(spark, ["viewfs://shelf/vecs/two", "viewfs://shelf/vecs/one"], 6, split_bytes=300)
+    found = sorted(rows.collect())
+    assert [r["id"] for r in found] == list(range(95))
+    assert np.array_equal(np.float32([r["v"] for r in found]), np.vstack([a[40:], a[:40]]))
+    with pytest.raises(FileNotFoundError, match="three"):
+        vecs.scan_fvecs(spark, "viewfs://shelf/vecs/three", 6)
+
+
+def test_names_of_vector_files_are_no_patterns(spark, tmp_path):
+    for n, name in enumerate(("a*", "ab", "a,b", "{a,b}", "[a]", "a b%20", "a\\b")):
+        write_vecs(tmp_path / name, np.full((2, 3), n, np.float32), "<f4")
+        rows = vecs.scan_fvecs(spark, str(tmp_path / name), 3).collect()
+        assert [(r["id"], r["v"]) for r in sorted(rows)] == [(0, [n] * 3), (1, [n] * 3)]
+
+
+def test_ids_survive_what_comes_after_the_scan(spark, tmp_path):
+    a = np.arange(60, dtype=np.float32).reshape(20, 3)
+    files = [write_vecs(tmp_path / "p", a[:13], "<f4"), write_vecs(tmp_path / "q", a[13:], "<f4")]
+    rows = vecs.scan_fvecs(spark, files, 3, split_bytes=64)
+    kept = rows.where("id >= 10").repartition(3).join(rows.select("id", F.col("v")[0].alias("x")), "id")
+    assert sorted((r["id"], r["x"]) for r in kept.select("id", "x").collect()) == [(i, 3.0 * i) for i in range(10, 20)]
+
+
 def test_bvecs_bytes_are_unsigned_numbers(spark, tmp_path):
     a = np.array([[0, 127, 128, 255]], dtype=np.uint8)
     rows = vecs.scan_bvecs(spark, [write_vecs(tmp_path / "b", a, "u1")], 4)

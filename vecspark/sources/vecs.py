@@ -1,23 +1,24 @@
 """Fixed-record vector files: fvecs (float32), bvecs (uint8), ivecs (int32).
 
 A record is a little-endian uint32 dimension followed by that many elements.
-The reader is a Spark data source: the driver plans byte ranges of whole
-records, each task reads its range and hands Arrow batches to Spark. A row's
+Files are opened by Spark's fixed-length record input, so any Hadoop file system
+will do (``hdfs://``, ``s3a://``, ...) with the session's settings and credentials.
+Tasks get byte ranges of whole records and decode them in Arrow batches. A row's
 id is its position over all files, in the order they are given.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HEADER_BYTES = 4
 SPLIT_BYTES = 128 << 20
-BATCH_BYTES = 8 << 20
+#: the low bits of a monotonically increasing id: the row's number within its task
+ROW_BITS = 33
 
 #: element kind -> numpy type in the file, numpy type in the row, Spark type
 ELEMENTS = {
@@ -27,110 +28,77 @@ ELEMENTS = {
 }
 
 
-@dataclass
-class RecordRange(InputPartition):
-    path: str
-    first: int
-    count: int
-    first_id: int
-
-
 def record_bytes(dim: int, element: str) -> int:
-    import numpy as np
-
     return HEADER_BYTES + dim * np.dtype(ELEMENTS[element][0]).itemsize
 
 
-class VecsReader(DataSourceReader):
-    def __init__(self, options):
-        self.files = json.loads(options["files"])
-        self.dim = int(options["dim"])
-        self.element = options["element"]
-        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
-
-    def partitions(self):
-        size = record_bytes(self.dim, self.element)
-        per_split = max(1, self.split_bytes // size)
-        ranges, first_id = [], 0
-        for path, length in self.files:
-            rows = length // size
-            for first in range(0, rows, per_split):
-                ranges.append(RecordRange(path, first, min(per_split, rows - first), first_id + first))
-            first_id += rows
-        return ranges or [RecordRange("", 0, 0, 0)]
-
-    def read(self, partition):
-        import numpy as np
-        import pyarrow as pa
-        from pyarrow import fs
-
-        if not partition.count:
-            return
-        stored, kept, _ = ELEMENTS[self.element]
-        record = np.dtype([("dim", "<u4"), ("v", stored, (self.dim,))])
-        system, path = fs.FileSystem.from_uri(partition.path)
-        with system.open_input_file(path) as source:
-            source.seek(partition.first * record.itemsize)
-            done, per_batch = 0, max(1, BATCH_BYTES // record.itemsize)
-            while done < partition.count:
-                rows = min(per_batch, partition.count - done)
-                data = source.read(rows * record.itemsize)
-                if len(data) != rows * record.itemsize:
-                    raise EOFError(f"{partition.path}: file is shorter than planned")
-                block = np.frombuffer(data, dtype=record)
-                if (block["dim"] != self.dim).any():
-                    found = int(block["dim"][block["dim"] != self.dim][0])
-                    raise ValueError(f"{partition.path}: record of dimension {found}, expected {self.dim}")
-                flat = np.ascontiguousarray(block["v"]).astype(kept).ravel()
-                offsets = np.arange(0, (rows + 1) * self.dim, self.dim, dtype=np.int32)
-                ids = np.arange(rows, dtype=np.int64) + partition.first_id + done
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["id", "v"],
-                )
-                done += rows
-
-
-class VecsDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "vecs"
-
-    def schema(self):
-        return f"id bigint, v array<{ELEMENTS[self.options['element']][2]}>"
-
-    def reader(self, schema):
-        return VecsReader(self.options)
-
-
-def file_lengths(paths: list[str]) -> list[tuple[str, int]]:
-    """``(path, length)`` of each file, in the given order; file contents are not read."""
-    from pyarrow import fs
-
+def file_lengths(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """``(path, length)`` of each file, fully qualified and in the given order; contents are not read."""
     found = []
     for path in paths:
-        system, inner = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
-        info = system.get_file_info(inner)
-        if info.type != fs.FileType.File:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(at) or not store.getFileStatus(at).isFile():
             raise FileNotFoundError(path)
-        found.append((path if "://" in path else os.path.abspath(path), info.size))
+        found.append((store.makeQualified(at).toString(), store.getFileStatus(at).getLen()))
     return found
 
 
+def _records(spark: SparkSession, path: str, size: int, split_bytes: int) -> DataFrame:
+    """``(value BINARY, first LONG)``: the records of a file and the position of each within it.
+
+    A task's range is a whole number of records, so the byte it starts at gives its first position.
+    """
+    conf = spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", str(max(size, split_bytes)))
+    records = spark._jsc.sc().binaryRecords(_literal(path), size, conf)
+    rows = spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
+    within = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
+    return DataFrame(rows, spark).select("value", (F.expr(f"input_file_block_start() div {size}") + within).alias("first"))
+
+
+def _literal(path: str) -> str:
+    """``path`` for an input that takes patterns, parted by commas outside braces."""
+    return "".join("{\\,}" if c == "," else "\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _decode(dim: int, element: str):
+    """``mapInArrow`` body: records to ``(id, v)``."""
+    stored, kept, _ = ELEMENTS[element]
+    record = np.dtype([("dim", "<u4"), ("v", stored, (dim,))])
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column("value").cast(pa.binary())
+            start, stop = np.frombuffer(values.buffers()[1], np.int32)[[values.offset, values.offset + len(values)]]
+            block = np.frombuffer(values.buffers()[2], record, len(values), start) if stop > start else np.empty(0, record)
+            if (block["dim"] != dim).any():
+                found = int(block["dim"][block["dim"] != dim][0])
+                raise ValueError(f"record of dimension {found}, expected {dim}")
+            flat = np.ascontiguousarray(block["v"]).astype(kept).ravel()
+            offsets = np.arange(0, (len(block) + 1) * dim, dim, dtype=np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("first"), vectors], names=["id", "v"])
+
+    return run
+
+
 def _scan(
     spark: SparkSession, paths, dim: int, element: str, split_bytes: int | None = None
 ) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    size = record_bytes(dim, element)
-    files = file_lengths(paths)
-    for path, length in files:
+    size, schema = record_bytes(dim, element), f"id bigint, v array<{ELEMENTS[element][2]}>"
+    found, first_id = [], 0
+    for path, length in file_lengths(spark, paths):
         if length % size:
             raise ValueError(f"{path}: {length} bytes is not a whole number of {size}-byte records")
-    spark.dataSource.register(VecsDataSource)
-    reader = spark.read.format("vecs").option("files", json.dumps(files)).option("dim", dim)
-    if split_bytes:
-        reader = reader.option("splitBytes", split_bytes)
-    return reader.option("element", element).load()
+        if length:
+            rows = _records(spark, path, size, split_bytes or SPLIT_BYTES)
+            found.append(rows.withColumn("first", F.col("first") + F.lit(first_id)))
+        first_id += length // size
+    if not found:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, found).mapInArrow(_decode(dim, element), schema)
 
 
 def scan_fvecs(spark: SparkSession, paths, dim: int, **options) -> DataFrame:
