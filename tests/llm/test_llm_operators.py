@@ -442,6 +442,16 @@ def test_ann_recall_and_exactness(spark):
     assert ann.nearest(vectors.limit(0)).count() == 0 and ann.nearest(vectors.where("vec_id in (20, 21)")).count() == 1
 
 
+def test_ann_repeated_ids_and_lengths(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 1.0]), (1, [2.0, 5.0]), (1, [2.0, 3.0]), (1, [4.0, 0.0]), (2, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        found = ann.nearest(spark.createDataFrame(order, schema)).orderBy("rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 5.0), (0, 2, 1.0)]
+    with pytest.raises(ValueError, match="dimension: 2 and 3"):
+        ann.nearest(spark.createDataFrame([*rows, (3, [1.0, 2.0, 3.0])], schema))
+
+
 def spread_vectors(kind, n):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((n, 64))

@@ -173,7 +173,7 @@ def nearest(
     Nearness is the inner product of the original vectors in double precision, ties
     go to the smaller vec_id, a query is no candidate for itself. Vectors that are null, empty, zero, or hold
     a null or a non-finite number take no part, nor do rows without vec_id; of rows that repeat a vec_id
-    one counts. All vectors must have one length. Fewer candidates than ``k`` give fewer rows, an empty
+    the one with the smallest vector counts, element by element. Vectors of different lengths are an error. Fewer candidates than ``k`` give fewer rows, an empty
     table none.
 
     Of equal vectors only the ``k + 1`` with the smallest ids can be among the answers, so only they
@@ -184,13 +184,15 @@ def nearest(
     ``recall`` needs it. As soon as that would be as many as there are vectors, the answers are exact.
     """
     ship_package(vectors.sparkSession)
-    rows = write_step(usable(vectors).dropDuplicates(["vec_id"]).withColumn("key", F.xxhash64("v")), "vectors")
+    rows = write_step(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("key", F.xxhash64("v")), "vectors")
     equal = W.partitionBy("key").orderBy("vec_id")
     base = write_step(rows.withColumn("nth", F.row_number().over(equal)).where(F.col("nth") <= k + 1).select("vec_id", "v"), "base")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, longest = base.agg(F.count("*"), F.max(norm)).first()
+    n, longest, least, most = base.agg(F.count("*"), F.max(norm), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if least != most:
+        raise ValueError(f"vectors differ in dimension: {least} and {most}")
     fraction = sample / n
     drawn = base if fraction >= 1 else base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(fraction * (1 << 30)))
     points = np.array([r["v"] for r in drawn.orderBy("vec_id").select("v").limit(sample).collect()])
