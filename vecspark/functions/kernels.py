@@ -60,6 +60,11 @@ def exact_type(metric: str):
     return np.int64 if metric in BIT_METRICS else np.float64
 
 
+def set_bits(words: np.ndarray) -> np.ndarray:
+    """Bits set in each word, the sign bit included (numpy would count those of the absolute value)."""
+    return np.bitwise_count(words.astype(np.int64, copy=False).view(np.uint64))
+
+
 def paired(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of each row of ``a`` to the matching row of ``b`` (or to one vector)."""
     if metric == "l1":
@@ -74,10 +79,10 @@ def paired(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             cosine = (a * b).sum(axis=-1) / norms
         return np.where(norms == 0, np.nan, np.maximum(1.0 - cosine, 0.0))
     if metric == "hamming":
-        return np.bitwise_count(a ^ b).sum(axis=-1).astype(np.float64)
+        return set_bits(a ^ b).sum(axis=-1).astype(np.float64)
     if metric == "jaccard":
-        both = np.bitwise_count(a & b).sum(axis=-1).astype(np.float64)
-        either = np.bitwise_count(a | b).sum(axis=-1).astype(np.float64)
+        both = set_bits(a & b).sum(axis=-1).astype(np.float64)
+        either = set_bits(a | b).sum(axis=-1).astype(np.float64)
         return np.where(either == 0, 0.0, 1.0 - both / np.maximum(either, 1.0))
     raise ValueError(f"unknown metric {metric!r}")
 
@@ -266,6 +271,18 @@ def bit_scores(metric: str, queries: np.ndarray, block: np.ndarray) -> np.ndarra
     return np.where(either == 0, 0.0, 1.0 - both / np.maximum(either, 1.0))
 
 
+def word_distances(metric: str, points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Hamming or Jaccard distances of packed words, each row against each centroid."""
+    both = np.zeros((len(points), len(centroids)), np.int32)
+    for w in range(points.shape[1]):
+        both += set_bits(points[:, w, None] & centroids[None, :, w])
+    total = set_bits(points).sum(axis=1, dtype=np.int32)[:, None] + set_bits(centroids).sum(axis=1, dtype=np.int32)
+    if metric == "hamming":
+        return total - 2 * both
+    either = total - both
+    return np.where(either == 0, 0.0, 1.0 - both / np.maximum(either, 1))
+
+
 def unpack_bits(words: np.ndarray, width: int) -> np.ndarray:
     """Rows of 0/1 from words of which the lowest ``width`` bits are used."""
     narrow = np.ascontiguousarray(words, dtype=np.int64).astype(f"<u{width // 8}")
@@ -551,19 +568,25 @@ def cell_space(metric: str, matrix: np.ndarray, max_norm: float = 0.0, query: bo
 
 
 def nearest_cells(shared, n: int, metric: str, vector_at: int, max_norm: float, query: bool):
-    """``mapInArrow`` body: append the ``n`` nearest centroids of each row, nearest first."""
+    """``mapInArrow`` body: append the ``n`` nearest centroids of each row, nearest first.
+
+    Centroids of packed words are met by counting bits, others in cell space.
+    """
 
     def run(batches):
         numbers, centroids = shared.value
+        packed = centroids.dtype.kind == "i"
+        half = None if packed else np.square(centroids).sum(axis=1) / 2
         for batch in batches:
             points = np.empty((0, centroids.shape[1]))
             if batch.num_rows:
-                points = cell_space(metric, as_matrix(batch.column(vector_at)), max_norm, query)
+                points = as_matrix(batch.column(vector_at))
+                points = points.astype(np.int64) if packed else cell_space(metric, points, max_norm, query)
             found = np.empty((len(points), n), dtype=np.int32)
-            half = np.square(centroids).sum(axis=1) / 2
             step = max(1, SCORE_ELEMENTS // len(numbers))
             for lo in range(0, len(points), step):
-                scores = half - points[lo:lo + step] @ centroids.T
+                block = points[lo:lo + step]
+                scores = word_distances(metric, block, centroids) if packed else half - block @ centroids.T
                 if n == 1:
                     best = scores.argmin(axis=1)[:, None]
                 else:

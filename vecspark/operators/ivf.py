@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecspark.functions import kernels
-from vecspark.operators import celltree, knn
+from vecspark.operators import bitcells, celltree, knn
 from vecspark.sources import tables
 
 #: partition folders of the postings table
@@ -80,7 +80,7 @@ def train_centroids(
 ) -> np.ndarray:
     """Centroids from all rows, or from a seeded sample if ``fraction`` is below 1.
 
-    Copies are counted into one weighted point, and there are no more centroids
+    Those of bit vectors are packed words. Copies are counted into one weighted point, and there are no more centroids
     than distinct points: the trainer needs its starting points to differ.
     """
     if not 0 < fraction <= 1:
@@ -89,6 +89,8 @@ def train_centroids(
     if fraction < 1:
         drawn = chosen.sample(fraction, seed=seed)
         chosen = chosen if drawn.isEmpty() else drawn
+    if metric in kernels.BIT_METRICS:
+        return bitcells.train(chosen, lists, metric, seed, max_iter)
     points = (
         chosen.mapInArrow(kernels.to_cell_space(metric, max_norm), "point array<double>")
         .groupBy("point").agg(F.count("*").cast("double").alias("weight"))
@@ -105,6 +107,12 @@ def train_centroids(
         points.unpersist()
 
 
+def centroid_rows(spark: SparkSession, centroids) -> DataFrame:
+    """``(list, c)`` of ``(numbers, matrix)``."""
+    element = "bigint" if centroids[1].dtype.kind == "i" else "double"
+    return spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(*centroids)], f"list int, c array<{element}>")
+
+
 def with_cells(
     df: DataFrame, vec_col: str, centroids, n: int, metric: str, max_norm: float = 0.0, query: bool = False
 ) -> DataFrame:
@@ -179,12 +187,14 @@ def ivf_build(
         max_norm = largest_norm(base)
 
     def save_centroids(found: np.ndarray, kind: str) -> None:
-        cells = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)], "list int, c array<double>")
+        cells = centroid_rows(spark, (np.arange(len(found)), found))
         tables.save(cells, f"{name}_{kind}", "errorifexists", location=location)
 
     if coarse:
         fraction = min(train_fraction, celltree.sample_fraction(size.rows, lists))
         top = train_centroids(base, coarse, metric, max_norm, seed, max_iter, fraction)
+        if metric in kernels.BIT_METRICS:
+            top = kernels.cell_space(metric, top)
         save_centroids(top, "cells")
         chosen = base.select("id", "v")
         if fraction < 1:
