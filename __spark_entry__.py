@@ -358,18 +358,23 @@ def d6_expand_workload(spark, sf_dir):
 _INDEXES: dict = {}
 
 
-def _once(spark, sf_dir, kind: str, build):
+def _once(spark, sf_dir, kind: str, build, metric: str = "l2"):
     """Build an index once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _INDEXES:
-        _INDEXES[key] = build(_base(spark, sf_dir), _name(kind), scratch_dir(spark))
+        _INDEXES[key] = build(_rows_for(spark, sf_dir, metric), _name(kind), scratch_dir(spark))
     return _INDEXES[key]
 
 
+def _rows_for(spark, sf_dir, metric: str) -> DataFrame:
+    return _bits(spark, sf_dir) if metric in ("hamming", "jaccard") else _base(spark, sf_dir)
+
+
 def _ivf(spark, sf_dir, metric="l2"):
     return _once(
         spark, sf_dir, f"ivf_{metric}",
         lambda base, name, at: ivf.ivf_build(base, name, LISTS, metric, location=at),
+        metric,
     )
 
 
@@ -377,6 +382,7 @@ def _graph(spark, sf_dir, metric="l2"):
     return _once(
         spark, sf_dir, f"graph_{metric}",
         lambda base, name, at: graph.graph_build(base, name, 16, 64, metric, location=at),
+        metric,
     )
 
 
@@ -415,7 +421,7 @@ def e2_ivf_search_two_level(spark, sf_dir):
 def _ivf_query(metric: str, predicate: str | None = None, **limits):
     def run(spark, sf_dir):
         index = _ivf(spark, sf_dir, metric)
-        queries = _queries(_base(spark, sf_dir))
+        queries = _queries(_rows_for(spark, sf_dir, metric))
         return _rounded(ivf.ivf_search(index, queries, K, index.lists, predicate, metric, **limits))
 
     return run
@@ -454,6 +460,43 @@ def e4_graph_search_floor(spark, sf_dir):
     return scored.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reaches_floor"))
 
 
+def _within_reach(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Answers no farther than the true k-th: of bit vectors many are equally far, and any of these will do."""
+    reach = truth.groupBy("qid").agg(F.max("distance").alias("reach"), F.count("*").alias("wanted"))
+    near = found.join(reach, "qid").agg(
+        F.count_distinct("qid").alias("queries"), F.count_if(F.col("distance") <= F.col("reach")).alias("near")
+    )
+    return near.crossJoin(reach.agg(F.sum("wanted").alias("wanted"))).select(
+        "queries", (F.col("near") >= 0.95 * F.col("wanted")).alias("reaches_floor")
+    )
+
+
+def _graph_bits(metric: str):
+    """Cells of packed words, small enough to be many; a narrow beam meets 95 in 100."""
+
+    def run(spark, sf_dir):
+        base = _bits(spark, sf_dir)
+        index = graph.graph_build(base, _name(f"graph_{metric}"), 16, 64, metric, cell_rows=100, location=scratch_dir(spark))
+        found = graph.graph_search(index, _queries(base), K, 100)
+        return _within_reach(found, knn.knn_join(base, _queries(base), K, metric))
+
+    return run
+
+
+def e2_ivf_search_probes(spark, sf_dir):
+    """Half of the lists probed find nine in ten of the true neighbours, by broadcast and by shuffle alike."""
+    base, truth = _base(spark, sf_dir), _truth(spark, sf_dir)
+    index, queries = _ivf(spark, sf_dir), _queries(base)
+    ways = [({}, "scanned"), ({"broadcast_bytes": 0, "chunk_bytes": 50_000}, "joined")]
+    scored = []
+    for limits, way in ways:
+        found = ivf.ivf_search(index, queries, K, LISTS // 2, **limits)
+        scored.append(evaluate.recall(found, truth, K).select(F.lit(way).alias("way"), "recall"))
+    return reduce(DataFrame.unionByName, scored).groupBy("way").agg(
+        F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reaches_floor")
+    )
+
+
 def e3_graph_descent(spark, sf_dir):
     """Over small cells the neighbour-of-neighbour rounds make up for the borders."""
     base = _base(spark, sf_dir)
@@ -592,6 +635,22 @@ def f10_sweep(spark, sf_dir):
     return per_query.select("qid", "settings", "recall_all_lists", rising.alias("rising"))
 
 
+def f10_sweep_builds(spark, sf_dir):
+    """Two builds of lists and one graph, each at two settings; the widest setting of a build finds everything."""
+    base = _base(spark, sf_dir)
+    builds = [
+        sweeps.Build("lists 4", "ivf", {"lists": 4}, (1, 4)),
+        sweeps.Build("lists 16", "ivf", {"lists": LISTS}, (4, LISTS)),
+        sweeps.Build("graph 8", "graph", {"m": 8, "ef_construction": 32}, (20, base.count())),
+    ]
+    swept = sweeps.sweep_builds(base, _queries(base), _truth(spark, sf_dir), builds, K, name=_name("swept"), location=scratch_dir(spark))
+    wide = F.max_by("average", "setting")
+    scored = swept.recalls.groupBy("build", "setting").agg(F.count("*").alias("queries"), F.avg("recall").alias("average"))
+    return scored.groupBy("build").agg(
+        F.sum("queries").alias("scores"), wide.alias("recall_widest"), (F.min_by("average", "setting") <= wide).alias("rising")
+    )
+
+
 # ---------------------------------------------------------------- contract
 
 
@@ -645,6 +704,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e1_ivf_two_level": e1_ivf_two_level,
         "e2_ivf_search_two_level": e2_ivf_search_two_level,
         "e2_ivf_search_all_probes": _ivf_query("l2"),
+        "e2_ivf_search_probes": e2_ivf_search_probes,
         "e2_ivf_search_shuffled": _ivf_query("l2", broadcast_bytes=0, chunk_bytes=50_000),
         "e3_graph_build": e3_graph_build,
         "e3_graph_descent": e3_graph_descent,
@@ -660,6 +720,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e9_ivf_search_cosine": _ivf_query("cosine"),
         "e9_ivf_search_ip": _ivf_query("ip"),
         "e9_ivf_search_l1": _ivf_query("l1"),
+        "e9_ivf_search_hamming": _ivf_query("hamming"),
+        "e9_ivf_search_jaccard": _ivf_query("jaccard"),
+        "e9_graph_search_hamming": _graph_bits("hamming"),
+        "e9_graph_search_jaccard": _graph_bits("jaccard"),
         "e9_graph_search_cosine": _graph_query("cosine"),
         "f1_recall": f1_recall,
         "f1_recall_5_at_8": f1_recall_5_at_8,
@@ -673,6 +737,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f8_qps": f8_qps,
         "f9_ground_truth": f9_ground_truth,
         "f10_sweep": f10_sweep,
+        "f10_sweep_builds": f10_sweep_builds,
     } | (training_data.queries() if training_data else {})
 
 
@@ -767,6 +832,7 @@ def oracle_sql() -> dict[str, str]:
     percentages = evaluate.parse_percentages(PERCENTAGES)
     word = "CAST(list_sum([CASE WHEN embedding[i + {at}] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, 33)]) AS BIGINT)"
     rows = "(SELECT count(*) FROM embeddings)"
+    reaching = "SELECT count(*) AS queries, true AS reaches_floor FROM embeddings"
     return {
         "a1_scan_fvecs": floats,
         "a2_scan_bvecs": _sql_lists(
@@ -833,6 +899,8 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "e1_ivf_two_level": "SELECT count(*) AS posted, count(DISTINCT vec_id) AS ids, true AS nine_in_ten_nearest FROM embeddings",
         "e2_ivf_search_two_level": exact_l2,
         "e2_ivf_search_all_probes": exact_l2,
+        "e2_ivf_search_probes": "SELECT way, count(*) AS queries, true AS reaches_floor FROM embeddings, "
+        "(VALUES ('scanned'), ('joined')) AS w(way) GROUP BY way",
         "e2_ivf_search_shuffled": exact_l2,
         "e3_graph_build": "SELECT 'nodes' AS fact, count(*) AS value FROM embeddings UNION ALL "
         "SELECT 'repeated nodes', count(*) - count(DISTINCT vec_id) FROM embeddings UNION ALL "
@@ -851,6 +919,10 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "e9_ivf_search_cosine": _sql_knn("cosine"),
         "e9_ivf_search_ip": _sql_knn("ip"),
         "e9_ivf_search_l1": _sql_knn("l1"),
+        "e9_ivf_search_hamming": _sql_knn("hamming"),
+        "e9_ivf_search_jaccard": _sql_knn("jaccard"),
+        "e9_graph_search_hamming": reaching,
+        "e9_graph_search_jaccard": reaching,
         "e9_graph_search_cosine": _sql_knn("cosine"),
         "f1_recall": _sql_recall(),
         "f1_recall_5_at_8": _sql_recall(5, 8),
@@ -868,4 +940,6 @@ FROM (VALUES ('declared rows of files', {rows}, {rows}), ('rows', {rows}, {rows}
         "FROM events GROUP BY event_type)",
         "f9_ground_truth": _sql_knn("cosine", columns="qid, rank, id"),
         "f10_sweep": "SELECT vec_id AS qid, 3::BIGINT AS settings, 1.0::DOUBLE AS recall_all_lists, true AS rising FROM embeddings",
+        "f10_sweep_builds": "SELECT build, 2 * count(*) AS scores, 1.0::DOUBLE AS recall_widest, true AS rising FROM embeddings, "
+        "(VALUES ('lists 4'), ('lists 16'), ('graph 8')) AS b(build) GROUP BY build",
     } | (training_data.oracle_sql() if training_data else {})

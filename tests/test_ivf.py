@@ -3,7 +3,7 @@ import pytest
 
 from tests.conftest import as_queries, brute, listed, mean_recall, vectors
 from vecspark.operators import ivf
-from vecspark.plans.sweep import sweep, sweep_summary
+from vecspark.plans.sweep import Build, sweep, sweep_builds, sweep_summary
 from vecspark.operators.knn import ground_truth
 from vecspark.sources import tables
 
@@ -140,6 +140,39 @@ def test_sweep_scores_each_setting(base, index):
     assert found[(1, "average")] < 1.0
 
 
+def test_sweep_over_builds(spark, base, tmp_path):
+    truth = ground_truth(base, as_queries(base), 10)
+    builds = [Build("few", "ivf", {"lists": 3}, (1, 3)), Build("net", "graph", {"m": 8, "ef_construction": 24}, (40,))]
+    swept = sweep_builds(base, as_queries(base), truth, builds, 10, name="swept", location=str(tmp_path))
+    found = {(r["build"], r["setting"]): r for r in swept.recalls.groupBy("build", "setting").agg(
+        {"recall": "avg", "qid": "count"}).collect()}
+    assert set(found) == {("few", 1), ("few", 3), ("net", 40)}
+    assert all(r["count(qid)"] == 900 for r in found.values())
+    assert found[("few", 1)]["avg(recall)"] < found[("few", 3)]["avg(recall)"] == 1.0
+    assert found[("net", 40)]["avg(recall)"] > 0.9
+    facts = {r["build"]: r for r in swept.builds.collect()}
+    assert facts["few"]["lists"] == 3 and facts["few"]["options"] == '{"lists": 3}'
+    assert all(r["bytes"] > 0 and r["seconds"] > 0 for r in facts.values())
+    assert not list(tmp_path.iterdir()) and not [t.name for t in spark.catalog.listTables() if t.name.startswith("swept")]
+    summary = sweep_summary(swept.recalls, "50").collect()
+    assert {r["build"] for r in summary} == {"few", "net"}
+
+
+def test_sweep_over_builds_refuses(spark, base, index):
+    queries = as_queries(base.where("id < 2"))
+    truth = ground_truth(base, queries, 10)
+    few = Build("few", "ivf", {"lists": 3}, (1,))
+    for builds, name in (
+        ([], "s"), ([few, few], "s"), ([Build("x", "tree")], "s"), ([Build("x", "ivf", {}, ())], "s"),
+    ):
+        with pytest.raises(ValueError):
+            sweep_builds(base, queries, truth, builds, 10, name=name)
+    ivf.ivf_build(base, "held_0", 2, "l2")
+    with pytest.raises(ValueError, match="already"):
+        sweep_builds(base, queries, truth, [few], 10, name="held")
+    assert ivf.ivf_open(spark, "held_0").lists == 2
+
+
 def test_vectors_of_mixed_dimension_are_refused(spark):
     base = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="dimension|shape|size"):

@@ -77,14 +77,26 @@ def count_files(spark: SparkSession, folder: str) -> int:
     return store.getContentSummary(path).getFileCount() if store.exists(path) else 0
 
 
+#: tables an index may have, as ``<name>_<kind>``
+INDEX_KINDS = ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells", "live", "definition")
+
+
+def index_bytes(spark: SparkSession, name: str) -> int:
+    """Bytes that the tables of an index take in storage; 0 if there is none."""
+    total = 0
+    for folder in filter(None, (table_folder(spark, f"{name}_{kind}") for kind in INDEX_KINDS)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
 def drop_index(spark: SparkSession, name: str, keep: tuple[str, ...] = ()) -> None:
     """Drop every table of an index with its files, but for the kinds to ``keep``; an absent index is no error.
 
     Dropping a table written with ``location`` leaves its folder, which ``save`` names after the
     table; only a folder of that name is deleted.
     """
-    kinds = ("meta", "centroids", "postings", "nodes", "edges", "entries", "copies", "cells", "live", "definition")
-    for kind in (k for k in kinds if k not in keep):
+    for kind in (k for k in INDEX_KINDS if k not in keep):
         table = f"{name}_{kind}"
         folder = table_folder(spark, table)
         drop_table(spark, table)
