@@ -42,7 +42,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations")).select("conv_id", "n_turns", "n_copies", "text")
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
+    return chat.format_chats(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "n_turns", "n_copies", "text", F.array_join(spans, " ").alias("loss_spans")
+    )
 
 
 def op6_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +124,17 @@ WITH turns AS (
 ), kept AS (
     SELECT conv_id, n AS n_turns, n_copies FROM whole
     WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.place < p.n AND p.place = whole.n AND p.said = whole.said)
+), parts AS (
+    SELECT conv_id, n_turns, n_copies, place, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS head,
+        coalesce(text, '') AS body, '<|im_end|>' || chr(10) AS tail
+    FROM kept JOIN turns USING (conv_id)
+), ended AS (
+    SELECT *, sum(length(head || body || tail)) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) - length(tail) AS stop
+    FROM parts
 )
-SELECT conv_id, n_turns::INTEGER AS n_turns, n_copies,
-    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
-FROM kept JOIN turns USING (conv_id) GROUP BY conv_id, n_turns, n_copies
+SELECT conv_id, n_turns::INTEGER AS n_turns, n_copies, string_agg(head || body || tail, '' ORDER BY place) AS text,
+    coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ' ' ORDER BY place) FILTER (role = 'assistant'), '') AS loss_spans
+FROM ended GROUP BY conv_id, n_turns, n_copies
 """
 
 _SHINGLES = r"""
