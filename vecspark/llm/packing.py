@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import array
 import base64
+import collections
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vecspark.llm.support import ship_package
@@ -106,9 +108,11 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int | None = END_OF_TEXT) -> DataFrame:
-    """``(doc_id, text_hash, n_tokens, ids binary)``: ids of each whole text, in the width of ``id_type``.
+    """``(doc_id, text_hash, spread, n_tokens, ids binary)``: ids of each whole text, in the width of ``id_type``.
 
-    ``end`` is appended to every text; null and empty texts have no ids at all.
+    ``end`` is appended to every text; null and empty texts have no ids at all. ``spread`` is 0 for a row and
+    numbers its further occurrences within a task, so that equal rows need not share a shard. Equal rows
+    are interchangeable, so a task that is run again numbers them alike in any order of its rows.
     """
     ship_package(docs.sparkSession)
 
@@ -116,22 +120,29 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int | None = EN
         pieces = encoder(vocabulary)
         size = array.array(pieces.code).itemsize
         tail = [] if end is None else [end]
+        seen: collections.Counter[tuple] = collections.Counter()
+        task = TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
+                spread = []
+                for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    spread.append(task + seen[key] if seen[key] else 0)
+                    seen[key] += 1
                 out = [pieces.encode(text, tail) if text else b"" for text in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         batch.column(1),
+                        pa.array(spread, pa.int64()),
                         pa.array([len(x) // size for x in out], pa.int64()),
                         pa.array(out, pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "n_tokens", "ids"],
+                    ["doc_id", "text_hash", "spread", "n_tokens", "ids"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, spread long, n_tokens long, ids binary")
 
 
 def id_type(vocabulary: str) -> str:
@@ -183,7 +194,7 @@ def pack(tokens: DataFrame, code: str, shards: int, capacity: int = ROW_TOKENS,
             }
         )
 
-    shard = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id", "text_hash", "spread"), F.lit(shards)).alias("shard")
     dealt = tokens.where("n_tokens > 0").select(shard, "doc_id", "text_hash", "ids")
     return dealt.groupBy("shard").applyInArrow(run, PACKED)
 
