@@ -249,6 +249,18 @@ def test_packing_round_trip(spark):
     assert [np.frombuffer(r["input_ids"], "<i4").tolist() for r in binary] == [r["input_ids"] for r in packed[:2]]
 
 
+def test_packing_spreads_equal_rows(spark):
+    """A document that makes up most of the table is dealt to many shards, and none of its copies is lost."""
+    text = " ".join(["word"] * 200)
+    rows = [*[(1, text)] * 300, *enumerate(sentences(31, 60, 100), start=10)]
+    packed = packing.pack_documents(documents(spark, rows, 4), capacity=512, shard_chars=10_000).collect()
+    copies = collections.Counter()
+    for r in packed:
+        copies[r["shard"]] += r["doc_ids"].count(1)
+    assert sum(copies.values()) == 300
+    assert max(copies.values()) <= 40 and len(copies) > 15
+
+
 def test_best_fit_decreasing():
     lengths = np.random.default_rng(1).integers(1, 101, 400)
     rows = packing.pack_lengths(lengths, 100)
@@ -393,8 +405,9 @@ def test_quality_separates(spark):
     good, bad = sentences(20, 300, 80), ["$$ ".join(t.split()[:50]).upper() for t in sentences(21, 300, 80)]
     rows = list(enumerate([*good, *bad, None, "", "  "]))
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(600)] + [(None, 1, 0), (5, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
-    docs = documents(spark, rows).drop("score")
+    docs = documents(spark, rows)  # its column score is replaced
     model = quality.train(docs, labels)
+    assert quality.score(docs, model).columns.count("score") == 1
     scored = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
     assert all((scored[i] >= 0.3) == (i < 300) for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0)
     assert scored[600] == scored[601] == scored[602] == model.empty
@@ -409,14 +422,27 @@ def test_language_predicts(spark):
         lang = list(parts)[i % 5]
         rows.append((i, " ".join("".join(rng.choice(parts[lang].split(), 2)) for _ in range(30)), lang))
     rows += [(900, None, "en"), (901, "", None), (902, "123 !!", "de"), (903, "the and", None)]
-    docs = documents(spark, rows).drop("score")
+    docs = documents(spark, rows).withColumn("lang_pred", F.lit(0))  # its columns score and lang_pred are replaced
     model = language.train(docs)
+    assert sorted(language.identify(docs, model).columns).count("lang_pred") == 1
     found = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
     assert np.mean([found[i]["lang_pred"] == rows[i][2] for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.95
     assert [found[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and found[903]["lang_pred"] != "und"
     assert language.train(docs.limit(0)) is None and language.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_every_language(spark):
+    """No language is left out for being rarer than others, and a long or repeated text changes nothing for the rest."""
+    rng = np.random.default_rng(8)
+    alphabets = [[chr(0x4E00 + 40 * n + j) for j in range(12)] for n in range(30)]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i % 30], 3)) for _ in range(20)), f"l{i % 30:02d}") for i in range(600)]
+    rows += [rows[0]] * 50 + [(5000, rows[1][1] * 3000, "l01")]
+    model = language.train(documents(spark, rows), total=60)
+    assert sorted(m for f in model.families for m in f) == [f"l{n:02d}" for n in range(30)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(documents(spark, rows), model).collect()}
+    assert np.mean([found[i] == rows[i][2] for i in range(600)]) > 0.95 and found[5000] == "l01"
+
+
 # ------------------------------------------------------------------------- ann
 
 

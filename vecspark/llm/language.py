@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from vecspark.llm.support import ship_package
 
@@ -149,19 +149,25 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> LanguageModel | None:
-    """Fit on a bounded sample outside the held-out fold: of each language the first ``rows`` by a hash of id and text."""
+    """Fit on a bounded sample outside the held-out fold: of each language the first ``rows`` by a hash of id and text.
+
+    ``total`` bounds the rows of all languages, but each gets ten at least, however many there are: every
+    language that occurs with a text of 1 to SAMPLE_CHARS characters is learned.
+    """
     ship_package(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS) & ~held_out()
     )
-    names = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total // 10).collect()]
-    if not names:
+    known = usable.agg(F.count_distinct("lang")).first()[0]
+    if not known:
         return None
-    each = max(10, min(rows, total // len(names)))
-    sample = None
-    for name in names:
-        part = usable.where(F.col("lang") == name).select(F.col("lang").alias("of"), F.xxhash64("doc_id", "text").alias("order")).orderBy("order").limit(each)
-        sample = part if sample is None else sample.unionByName(part)
+    each = max(10, min(rows, total // known))
+    # equal rows are one; the limit is applied before the shuffle as well, so a hot language is no large group
+    first = W.partitionBy("of").orderBy("order")
+    sample = (
+        usable.select(F.col("lang").alias("of"), F.xxhash64("doc_id", "text").alias("order"))
+        .withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("of", "order").distinct()
+    )
     chosen = usable.join(F.broadcast(sample), (F.xxhash64("doc_id", "text") == F.col("order")) & (F.col("lang") == F.col("of"))).select(
         "lang", "text", "order"
     )
@@ -184,9 +190,11 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1) added, from whole texts.
 
     A null or empty text, one without a letter, and any text if nothing could be
-    learned, get ``und`` with score 0.
+    learned, get ``und`` with score 0. Rows are independent, so repeated ones give equal results.
+    Columns of ``docs`` with the names of the added ones are replaced by them.
     """
     ship_package(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,9 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The columns of ``docs`` with ``score`` added: the probability of label 1 from the whole text.
 
-    A null, empty or blank text gets the rate of label 1 among all labelled rows.
+    A null, empty or blank text gets the rate of label 1 among all labelled rows. Rows are independent, so
+    repeated ones give equal results. A column ``score`` of ``docs`` is replaced.
     """
     ship_package(docs.sparkSession)
+    docs = docs.drop("score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
