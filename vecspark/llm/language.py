@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from vecspark.llm.support import ship_package
+from vecspark.llm.support import BROADCAST_IDS, ship_package
 
 #: Families of languages (fixed values); a language that is not listed is a family of its own.
 FAMILIES = {
@@ -37,6 +37,8 @@ GRAMS = (1, 2, 3, 4)
 SAMPLE_ROWS = 1000
 SAMPLE_TOTAL = 6000
 SAMPLE_CHARS = 20_000
+#: Rows drawn of a language by hash, as a multiple of those wanted, before the first of them are taken.
+MARGIN = 4
 CHUNK = 1 << 18
 
 _letters: list[np.ndarray] = []
@@ -152,22 +154,26 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -
     """Fit on a bounded sample outside the held-out fold: of each language the first ``rows`` by a hash of id and text.
 
     ``total`` bounds the rows of all languages, but each gets ten at least, however many there are: every
-    language that occurs with a text of 1 to SAMPLE_CHARS characters is learned.
+    language that occurs with a text of 1 to SAMPLE_CHARS characters is learned. Of a language whose rows are
+    mostly copies of each other fewer may be drawn.
     """
     ship_package(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS) & ~held_out()
     )
-    known = usable.agg(F.count_distinct("lang")).first()[0]
+    held = usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("held"))
+    known = held.count()
     if not known:
         return None
     each = max(10, min(rows, total // known))
-    # equal rows are one; the limit is applied before the shuffle as well, so a hot language is no large group
-    first = W.partitionBy("of").orderBy("order")
-    sample = (
+    # a share of a large language by hash, about MARGIN times what is wanted, and equal rows once: no group is large
+    drawn = (
         usable.select(F.col("lang").alias("of"), F.xxhash64("doc_id", "text").alias("order"))
-        .withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("of", "order").distinct()
+        .join(F.broadcast(held) if known <= BROADCAST_IDS else held, "of")
+        .where(F.pmod("order", "held") < MARGIN * each).select("of", "order").distinct()
     )
+    first = W.partitionBy("of").orderBy("order")
+    sample = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).drop("place")
     chosen = usable.join(F.broadcast(sample), (F.xxhash64("doc_id", "text") == F.col("order")) & (F.col("lang") == F.col("of"))).select(
         "lang", "text", "order"
     )
