@@ -210,6 +210,12 @@ def test_apply_mix_shuffles_no_texts(spark):
     assert not [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "REPARTITION_BY_NUM" not in line]
 
 
+def test_apply_mix_counts_the_words_of_a_text_once_a_scan(spark):
+    docs = documents(spark, [(i, f"t{i} " * (i % 40), "en", "abc"[i % 3]) for i in range(200)])
+    plan = mixing.apply_mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 # ------------------------------------------------------------------------ chat
 
 
@@ -512,3 +518,26 @@ def test_calibration_of_separable_examples_stays_finite():
     y = np.r_[np.zeros(200), np.ones(300)]
     w = quality._fit_logistic(x, y)
     assert np.abs(w).max() < 50 and (((x @ w[:-1] + w[-1]) > 0) == (y == 1)).all()
+
+
+# -------------------------------------------------------------------- pipeline
+
+
+def test_pipeline_sends_small_batches_to_python(spark):
+    import corpus_pipeline
+    from __spark_entry__ import SMOKE_DIR
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = documents(spark, [(i, f"t{i} " * 5000, "en", "a") for i in range(400)]).coalesce(1)
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)], pa.int64())], ["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "mixing":
+            spark.conf.unset(key)
+            try:
+                stage(spark, docs, SMOKE_DIR)
+                assert docs.mapInArrow(largest, "n long").first()[0] < 4 << 20
+            finally:
+                spark.conf.unset(key)

@@ -112,13 +112,16 @@ def mix(docs: DataFrame, cap: float = 3.0, prior: Column | None = None) -> DataF
 
 
 def _keys(rows: DataFrame, salts: int) -> DataFrame:
-    """Add ``class``, ``order``, ``salt`` and ``chance`` (above 0, at most 1), which follow from id, size and text_hash."""
+    """Add ``class``, ``order``, ``salt`` and ``chance`` (above 0, at most 1), which follow from id, size and text_hash.
+
+    None is nullable: a join on them would else test for nulls in the scan, where each test counts a text's words again.
+    """
     order = F.xxhash64("doc_id", "size", "text_hash")
     return rows.select(
         "*",
-        F.when(F.col("size") > 0, F.floor(2 * F.log2(F.col("size")))).otherwise(-1).alias("class"),
+        F.coalesce(F.when(F.col("size") > 0, F.floor(2 * F.log2(F.col("size")))), F.lit(-1)).alias("class"),
         order.alias("order"),
-        F.pmod(order, F.lit(salts)).alias("salt"),
+        F.coalesce(F.pmod(order, F.lit(salts)), F.lit(0)).alias("salt"),
         ((F.shiftrightunsigned(order, 11) + 1) / float(1 << 53)).alias("chance"),
     )
 
@@ -232,7 +235,7 @@ def apply_mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     keyed = docs.select(
         F.struct(*names).alias("__doc"), "doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count().alias("size")
     )
-    keyed = _keys(keyed, salts).where("size > 0")
+    keyed = _keys(keyed, salts)  # rows without words have no run
     of_run = keyed["source"].eqNullSafe(runs["__source"]) & (keyed["class"] == runs["__class"]) & (keyed["salt"] == runs["__salt"])
 
     def matched(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
