@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.llm import ann, chat, decontamination, language, mixing, neardup, packing, pii, quality, repeats
+from vecspark.llm import ann, chat, decontamination, language, mixing, neardup, packing, pii, quality, repeats, support
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 
@@ -74,6 +74,14 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, small_bloc
     assert found == brute_groups(rows, width)
 
 
+def test_wanted_rows_are_found_without_a_broadcast_join(spark):
+    docs = documents(spark, [(5, "a"), (-2, "b"), (None, "c"), (0, "d"), (5, "e"), (9, None)])
+    for ids, wanted in (([5, 0, 9], ["a", "d", "e", "None"]), ([None, -2], ["b"]), ([], [])):
+        rows = support.only(docs, support.write_step(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "ids"))
+        assert sorted(str(r["text"]) for r in rows.collect()) == sorted(wanted) and rows.columns == docs.columns
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_edges(spark):
     found = collections.defaultdict(list)
     for r in neardup.near_duplicates(documents(spark, EDGE), 2).collect():
