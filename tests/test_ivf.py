@@ -22,6 +22,15 @@ def index(spark, base):
     return ivf.ivf_build(base, "ivf_points", 16, "l2")
 
 
+def test_chunks_are_not_copied_more_than_the_other_side_is_large(monkeypatch, base, index):
+    held, pair = [], ivf.knn.cogrouped_topk
+    monkeypatch.setattr(ivf.knn, "cogrouped_topk", lambda a, b, *rest: held.append((a.count(), b.count())) or pair(a, b, *rest))
+    found = ivf.ivf_search(index, as_queries(base), 10, 999, broadcast_bytes=0, chunk_bytes=640)
+    assert listed(found) == brute("l2", POINTS, POINTS, 10)
+    asked = 900 * index.lists
+    assert held[0][0] < 2.5 * asked and held[0][1] < 1.5 * asked
+
+
 def test_postings_hold_every_row_once(spark, base, index):
     kept = index.postings(spark).select("id", "v", "label")
     assert kept.exceptAll(base).count() == 0 and kept.count() == 900

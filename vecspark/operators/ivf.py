@@ -312,22 +312,31 @@ def _scan_lists(index: IvfIndex, postings: DataFrame, probed: DataFrame, k: int)
 
 def _join_lists(index: IvfIndex, postings: DataFrame, probed: DataFrame, k: int, chunk_bytes: int) -> DataFrame:
     room = max(1, chunk_bytes // (index.dim * 8))
+    most = max(room, knn.CHUNK_BYTES // (index.dim * 8))
     probes = probed.select("qid", "qv", F.explode("cells").alias("list"))
-    return join_lists(postings, probes, room, k, index.metric, few_lists=True)
+    return join_lists(postings, probes, room, k, index.metric, few_lists=True, most=most)
 
 
 def join_lists(
-    postings: DataFrame, probes: DataFrame, room: int, k: int, metric: str, few_lists: bool = False
+    postings: DataFrame, probes: DataFrame, room: int, k: int, metric: str, few_lists: bool = False, most: int | None = None
 ) -> DataFrame:
     """Partial top-k of ``(list, id, v)`` against ``(list, qid, qv)``, both shuffled by list.
 
     A list with more than ``room`` rows on either side is cut into chunks of
-    about that size, and each chunk of one side meets each chunk of the other.
+    about that size, and each chunk of one side meets each chunk of the other. As each side is copied for every chunk of the other,
+    chunks are larger, up to the ``most`` rows that a task can hold, where the copies of one side would outgrow the other.
     """
-    cuts = (
-        postings.groupBy("list").agg(F.ceil(F.count("*") / room).alias("nb"))
-        .join(probes.groupBy("list").agg(F.ceil(F.count("*") / room).alias("nq")), "list")
+    most = room if most is None else most
+    sizes = (
+        postings.groupBy("list").agg(F.count("*").alias("b"))
+        .join(probes.groupBy("list").agg(F.count("*").alias("q")), "list")
     )
+
+    def chunks(rows: str, others: str):
+        needed, held = F.ceil(F.col(rows) / room), F.ceil(F.col(rows) / most)
+        return F.least(needed, F.greatest(held, F.ceil(F.col(rows) / F.col(others))))
+
+    cuts = sizes.select("list", chunks("b", "q").alias("nb"), chunks("q", "b").alias("nq"))
     if few_lists:  # one row per centroid, whose number was checked when built
         cuts = F.broadcast(cuts)
     left = postings.select("list", "id", "v").join(cuts, "list").select(
