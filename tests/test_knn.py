@@ -188,6 +188,16 @@ def test_blocks_are_bounded_by_answers_too():
     assert knn.query_blocks(knn.VectorStats(10, 64), 5, 0) == 10
 
 
+def test_one_pass_takes_many_blocks_of_queries(spark, monkeypatch):
+    points, _ = clouds(7, 600, 4)
+    base, passes, held = vectors(spark, points), [], []
+    merge, scan = knn.merge_topk, kernels.topk_scan_blocks
+    monkeypatch.setattr(knn, "merge_topk", lambda found, k: passes.append(1) or merge(found, k))
+    monkeypatch.setattr(kernels, "topk_scan_blocks", lambda shared, *a: held.extend(b.value[1].nbytes for b in shared) or scan(shared, *a))
+    assert listed(knn.knn_join(base, as_queries(base), 5, "l2", broadcast_bytes=1000)) == brute("l2", points, points, 5)
+    assert len(passes) <= 8 and len(held) >= 19 and max(held) <= 1000
+
+
 def test_base_is_not_shuffled_by_passes(spark, monkeypatch, tmp_path):
     points = np.random.default_rng(8).normal(size=(60, 3))
     vectors(spark, points).write.parquet(str(tmp_path / "base"))

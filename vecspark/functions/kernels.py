@@ -371,23 +371,38 @@ def topk_scan(shared, k: int, metric: str):
     """``mapInArrow`` body: scan ``(id, v)`` batches against broadcast queries."""
 
     def run(batches):
-        qids, matrix, bound, cells = shared.value
-        queries = QueryBlock(metric, qids, matrix)
-        best = TopK(len(qids), k, bound)
-        rows = np.arange(len(qids))
-        for batch in batches:
-            if batch.num_rows:
-                ids, block = batch.column(0).to_numpy(), as_matrix(batch.column(1))
-                if cells is None or block.shape[1] != matrix.shape[1] or np.isinf(best.limit).all():
-                    scan_block(best, queries, rows, ids, block)
-                else:
-                    scan_cells(best, queries, cells, ids, block)
-                best.settle()
-        yield from result_batches(queries, best)
+        yield from _scanned(batches, *shared.value, k, metric)
 
     return run
 
 
+def topk_scan_blocks(shared: list, k: int, metric: str):
+    """As ``topk_scan``, for queries that come in several broadcasts; their cells are formed in the task."""
+
+    def run(batches):
+        qids, matrix, bounds = zip(*(block.value for block in shared))
+        qids, matrix = np.concatenate(qids), np.concatenate(matrix)
+        bound = None if bounds[0] is None else np.concatenate(bounds)
+        yield from _scanned(batches, qids, matrix, bound, query_cells(metric, matrix), k, metric)
+
+    return run
+
+
+def _scanned(batches, qids, matrix, bound, cells, k: int, metric: str):
+    queries = QueryBlock(metric, qids, matrix)
+    best = TopK(len(qids), k, bound)
+    rows = np.arange(len(qids))
+    for batch in batches:
+        if batch.num_rows:
+            ids, block = batch.column(0).to_numpy(), as_matrix(batch.column(1))
+            if cells is None or block.shape[1] != matrix.shape[1] or np.isinf(best.limit).all():
+                scan_block(best, queries, rows, ids, block)
+            else:
+                scan_cells(best, queries, cells, ids, block)
+            best.settle()
+    yield from result_batches(queries, best)
+
+
 def topk_cells(shared, k: int, metric: str):
     """``mapInArrow`` body for ``(list, id, v)``: each row meets only the queries probing its list."""
 

@@ -28,6 +28,8 @@ TASK_ANSWERS = 4_000_000
 #: answers per task from which a bound taken from a sample pays for its scan
 BOUND_ANSWERS = 1_000_000
 BOUND_FRACTION = 0.01
+#: passes over the base from which blocks of queries share one, as far as a task can hold them
+FEW_PASSES = 8
 
 
 class VectorStats(NamedTuple):
@@ -117,8 +119,8 @@ def knn_join(
     upper bound of each k-th distance, which keeps all but about
     ``k / bound_fraction`` rows per query out of the shuffle; by default it is
     used only when each task could emit a million answers. A query set beyond
-    ``broadcast_bytes``, or with more than TASK_ANSWERS answers, is searched
-    block by block when this is called; else the result is lazy.
+    ``broadcast_bytes``, or with more than TASK_ANSWERS answers, is sent in
+    blocks and searched when this is called; else the result is lazy.
     """
     _check(k, metric)
     if predicate is not None:
@@ -131,7 +133,8 @@ def knn_join(
     blocks = query_blocks(size, k, broadcast_bytes)
     if blocks == 1:
         return merge_topk(_scan(rows, collect_queries(queries, metric), k, metric, bound_fraction), k)
-    return _passes(rows, queries, blocks, k, metric, bound_fraction)
+    passes = min(blocks, max(FEW_PASSES, query_blocks(size, k, BROADCAST_BYTES)))
+    return _passes(rows, queries, passes, k, metric, bound_fraction, broadcast_bytes if passes < blocks else None)
 
 
 def query_blocks(size: VectorStats, k: int, broadcast_bytes: int) -> int:
@@ -139,39 +142,47 @@ def query_blocks(size: VectorStats, k: int, broadcast_bytes: int) -> int:
     return min(size.rows, max(math.ceil(size.bytes / max(1, broadcast_bytes)), math.ceil(size.rows * k / TASK_ANSWERS)))
 
 
-def _passes(rows: DataFrame, queries: DataFrame, blocks: int, k: int, metric: str, bound_fraction: float | None) -> DataFrame:
-    """One pass over the base for each block of queries; the answers of a pass are written before the next begins.
+def _passes(
+    rows: DataFrame, queries: DataFrame, passes: int, k: int, metric: str, bound_fraction: float | None, broadcast_bytes: int | None
+) -> DataFrame:
+    """Passes over the base, each for a share of the queries; the answers of a pass are written before the next begins.
 
-    The driver holds one block at a time. The base is read again by each pass but never shuffled,
-    and a pass measures so many queries against each vector read that reading is not what it costs.
+    The driver holds one share at a time, at most BROADCAST_BYTES, and sends it in blocks of ``broadcast_bytes`` if that is given. The
+    base is read again by each pass but never shuffled, and a pass measures so many queries against each vector read that
+    reading is not what it costs.
     """
     spark = rows.sparkSession
     asked, answers = scratch_path(spark, "asked"), scratch_path(spark, "answers")
-    queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(asked)
+    queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(passes)).cast("int")).write.partitionBy("block").parquet(asked)
     written = spark.read.parquet(asked)
     for block in sorted(r["block"] for r in written.select("block").distinct().collect()):
         held = collect_queries(written.where(F.col("block") == block), metric)
-        merge_topk(_scan(rows, held, k, metric, bound_fraction), k).write.parquet(f"{answers}/block={block}")
+        blocks = math.ceil(held[1].nbytes / max(1, broadcast_bytes)) if broadcast_bytes is not None else 1
+        found = _scan(rows, held, k, metric, bound_fraction, blocks)
+        merge_topk(found, k).write.parquet(f"{answers}/block={block}")
     return spark.read.schema("qid long, rank int, id long, distance double").parquet(f"{answers}/*")
 
 
-def _scan(base: DataFrame, queries, k: int, metric: str, bound_fraction: float | None) -> DataFrame:
+def _scan(base: DataFrame, queries, k: int, metric: str, bound_fraction: float | None, blocks: int = 1) -> DataFrame:
     sc = base.sparkSession.sparkContext
     qids, matrix = queries
     if bound_fraction is None:
         bound_fraction = BOUND_FRACTION if len(qids) * k >= BOUND_ANSWERS else 0.0
-    bound = _sample_bound(base, queries, k, metric, bound_fraction) if bound_fraction else None
-    cells = kernels.query_cells(metric, matrix)
-    shared = sc.broadcast((qids, matrix, bound, cells))
-    return base.mapInArrow(kernels.topk_scan(shared, k, metric), kernels.RESULT_FIELDS)
+    bound = _sample_bound(base, queries, k, metric, bound_fraction, blocks) if bound_fraction else None
+    if blocks == 1:
+        cells = kernels.query_cells(metric, matrix)
+        return base.mapInArrow(kernels.topk_scan(sc.broadcast((qids, matrix, bound, cells)), k, metric), kernels.RESULT_FIELDS)
+    cuts = np.array_split(np.arange(len(qids)), min(blocks, len(qids)))
+    shared = [sc.broadcast((qids[c], matrix[c], None if bound is None else bound[c])) for c in cuts]
+    return base.mapInArrow(kernels.topk_scan_blocks(shared, k, metric), kernels.RESULT_FIELDS)
 
 
-def _sample_bound(base, queries, k, metric, fraction) -> np.ndarray:
+def _sample_bound(base, queries, k, metric, fraction, blocks=1) -> np.ndarray:
     """Distance of the k-th best in a sample: no true k-th best lies beyond it."""
     qids, _ = queries
     sample = base.sample(fraction, seed=17)
     found = (
-        merge_topk(_scan(sample, queries, k, metric, 0.0), k)
+        merge_topk(_scan(sample, queries, k, metric, 0.0, blocks), k)
         .where((F.col("rank") == k) & ~F.isnan("distance"))
         .select("qid", "distance")
         .toArrow()
